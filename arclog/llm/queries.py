@@ -7,9 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arclog.llm import chat, quality_rules, simhash
+import public_tokenizers
+
+from arclog.llm import chat, huffman, packing, quality_rules, simhash, warc
 from arclog.llm.common import table
 
+#: The vocabulary of the token queries.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed = "<|im_end|><|im_start|>assistant ok"
@@ -40,6 +45,21 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pieces(table(spark, sf_dir, "documents"), VOCABULARY)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op7_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = huffman.round_trip(table(spark, sf_dir, "documents"), VOCABULARY)
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 

@@ -56,5 +56,24 @@ FROM f
 """
 
 
+#: Each base32 digit of the SHA-1 is five bits out of two neighbouring hex digits.
+OP8 = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages
+), d AS (
+  SELECT *, max(page_id) OVER (PARTITION BY h) AS last FROM p
+), b AS (
+  SELECT *, list_transform(range(32), lambda i: (
+    (('0x' || substr(h || '0', ((i * 5) // 4 + 1)::BIGINT, 2))::BIGINT >> (3 - (i * 5) % 4)) & 31)) AS v
+  FROM d
+)
+SELECT page_id, n::BIGINT AS payload_bytes,
+  array_to_string(list_transform(v, lambda x: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x + 1)::BIGINT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
+FROM b
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": OP4, "op5_quality_rules": OP5}
+    return {"op4_chat_formatting": OP4, "op5_quality_rules": OP5, "op8_warc": OP8}
