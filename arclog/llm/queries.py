@@ -9,13 +9,19 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from arclog.llm import chat, huffman, packing, quality_rules, simhash, warc
-from arclog.llm.common import table
+from arclog.llm import chat, huffman, packing, quality_rules, simhash, toxicity, warc
+from arclog.llm.common import held_out, table
 
 #: The vocabulary of the token queries.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.with_scores(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", toxicity.predicted(F.col("score")).alias("predicted"))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed = "<|im_end|><|im_start|>assistant ok"
     added = spark.range(2).select(
