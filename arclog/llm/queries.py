@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from arclog.llm import chat, huffman, packing, quality_rules, simhash, toxicity, warc
+from arclog.llm import chat, embeddings, huffman, packing, quality_rules, simhash, toxicity, warc
 from arclog.llm.common import held_out, table
 
 #: The vocabulary of the token queries.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.with_scores(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
