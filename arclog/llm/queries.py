@@ -9,13 +9,21 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from arclog.llm import chat, embeddings, huffman, packing, quality_rules, simhash, toxicity, warc
+from arclog.llm import chat, embeddings, huffman, mixing, ordinal, packing, quality_rules, simhash, toxicity, warc
 from arclog.llm.common import held_out, table
 
 #: The vocabulary of the token queries.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Target weights: domains, then languages wherever they stand; sources weigh alike.
+WEIGHTS = {("web",): 5, ("books",): 3, ("forum",): 2, ("*", "en"): 6, ("*", "fr"): 4, ("*", "de"): 3, ("*", "es"): 3}
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.chosen_epochs(table(spark, sf_dir, "documents"), WEIGHTS)
+
+
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -70,6 +78,13 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ordinal.fit(docs, ordinal.grades_of(table(spark, sf_dir, "labels")), 3)
+    return ordinal.with_grades(docs, model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "expected_grade", F.col("tail").alias("score"), (F.col("tail") >= 0.5).alias("kept"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 

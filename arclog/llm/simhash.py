@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arclog.llm.common import checkpointed
+from arclog.llm.common import checkpointed, shared_folder
 from arclog.llm.components import connected_components
 
 SEED = 42
@@ -167,6 +167,20 @@ def components_of(prints: DataFrame, id_col: str = "doc_id", most: int = 4) -> D
     return classes.join(labels, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, most: int = 4) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the row with its smallest
+    id stays, one of them where the id is repeated; rows without id all stay."""
+    spark = docs.sparkSession
+    path = shared_folder(spark, "simhash")
+    with_fingerprints(docs, text_col, "_fp", shingle).withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    prints = rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col("_fp").alias("fp"), "_row")
+    found = prints.join(components_of(prints, "id", most), "fp")
+    kept = found.where("id = component").groupBy("component").agg(F.min("_row").alias("_row")).select("_row")
+    kept = kept.union(prints.where("id IS NULL").select("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, most: int = 4) -> DataFrame:
     """One row per document: its id, its fingerprint (16 hex digits) and its component."""
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))

@@ -75,5 +75,65 @@ FROM b
 """
 
 
+
+
+def _dealt(name: str, parent: str, children: str) -> str:
+    """A table's rows with their budget; ``children`` has total, capacity and weight."""
+    by = f"PARTITION BY {parent}" if parent else ""
+    return f"""
+{name}_ranked AS (
+  SELECT *, row_number() OVER s AS rank_, coalesce(sum(capacity) OVER (s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken,
+    sum(weight) OVER (s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS heavy,
+    coalesce(sum(weight) OVER (s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS light
+  FROM ({children}) WINDOW s AS ({by} ORDER BY capacity::DOUBLE / weight, {name})
+), {name}_first AS (
+  SELECT *, min(rank_) FILTER (WHERE capacity * heavy > weight * (total - taken)) OVER ({by}) AS first_ FROM {name}_ranked
+), {name}_shared AS (
+  SELECT *, max(total - taken) FILTER (WHERE rank_ = first_) OVER ({by}) AS rest,
+    max(heavy) FILTER (WHERE rank_ = first_) OVER ({by}) AS weights,
+    max(light) FILTER (WHERE rank_ = first_) OVER ({by}) AS base
+  FROM {name}_first
+), {name}_dealt AS (
+  SELECT * EXCLUDE (total), CASE WHEN rank_ >= first_
+    THEN least((rest * (light + weight - base)) // weights - (rest * (light - base)) // weights, capacity)
+    ELSE capacity END AS budget
+  FROM {name}_shared
+)"""
+
+
+_CHILDREN = """
+  SELECT {keys}, max(tokens) AS tokens, sum(capacity) AS capacity, max({weight}) AS weight, max(total) AS total
+  FROM leaves {join} GROUP BY {keys}"""
+
+OP1 = rf"""
+WITH t AS (
+  SELECT doc_id, ['web', 'books', 'forum'][(('0x' || substr(md5(coalesce(source, '')), 1, 1))::BIGINT % 3) + 1] AS domain,
+    coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS n_tokens
+  FROM documents
+), leaves AS (
+  SELECT domain, lang, source, sum(n_tokens) AS tokens, sum(n_tokens) * 4 AS capacity,
+    CASE domain WHEN 'web' THEN 5 WHEN 'books' THEN 3 ELSE 2 END AS w_domain,
+    CASE lang WHEN 'en' THEN 6 WHEN 'fr' THEN 4 WHEN 'de' THEN 3 WHEN 'es' THEN 3 ELSE 1 END AS w_lang, 1 AS w_source
+  FROM t GROUP BY ALL
+), {_dealt("domain", "", _CHILDREN.format(keys="domain", weight="w_domain", join="CROSS JOIN (SELECT sum(tokens) // 2 AS total FROM leaves)"))
+}, {_dealt("lang", "domain", _CHILDREN.format(keys="domain, lang", weight="w_lang", join="JOIN (SELECT domain, budget AS total FROM domain_dealt) USING (domain)"))
+}, {_dealt("source", "domain, lang", _CHILDREN.format(keys="domain, lang, source", weight="w_source", join="JOIN (SELECT domain, lang, budget AS total FROM lang_dealt) USING (domain, lang)"))
+}, p AS (
+  SELECT domain, lang, source, budget, budget // tokens AS full_, budget % tokens AS rest FROM source_dealt WHERE tokens > 0 AND budget > 0
+), h AS (
+  SELECT t.*, budget, full_, rest, md5('17:' || (full_ + 1)::VARCHAR || ':' || doc_id::VARCHAR) AS h
+  FROM t JOIN p USING (domain, lang, source) WHERE n_tokens > 0
+), c AS (
+  SELECT *, greatest(0, least(n_tokens, rest - (sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY h, doc_id) - n_tokens))) AS part FROM h
+), e AS (
+  SELECT *, unnest(range(1, (full_ + CASE WHEN part > 0 THEN 1 ELSE 0 END + 1)::BIGINT)) AS epoch FROM c
+)
+SELECT doc_id, domain, lang, source, epoch::BIGINT AS epoch, n_tokens,
+  (CASE WHEN epoch <= full_ THEN n_tokens ELSE part END)::BIGINT AS take_tokens, budget::BIGINT AS leaf_budget
+FROM e
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": OP4, "op5_quality_rules": OP5, "op8_warc": OP8}
+    return {"op1_mixing": OP1, "op4_chat_formatting": OP4, "op5_quality_rules": OP5, "op8_warc": OP8}
