@@ -3,18 +3,44 @@
 A byte-level BPE of this kind never merges across a space that stands before other than white
 space: such a space always begins a piece of the splitting pattern. So a text is cut at just
 those spaces, each distinct piece is encoded once by the library and kept, and the ids of the
-text are the pieces' ids put together. The result equals encoding the whole text.
+text are the pieces' ids put together. A run of Latin letters at the head of such a piece is
+one match of the pattern as well and goes to the library's model without the pattern. The
+result equals encoding the whole text.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from collections.abc import Iterable
 from functools import lru_cache
 
 #: Pieces that a worker keeps; beyond them it starts anew. Bounds memory, not results.
-KEPT_PIECES = 300_000
+KEPT_PIECES = 900_000
+
+#: Letters of every Unicode version: those of ASCII, Latin-1 and Latin Extended-A and -B.
+LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones stand for
+    themselves, the others follow from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return {b: chr(b if b in plain else next(others)) for b in range(256)}
+
+
+class _Kept(dict):
+    """Ids by piece; what is not yet there is made and kept."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, piece: str):
+        ids = self[piece] = self.make(piece)
+        return ids
 
 
 class Encoder:
@@ -25,23 +51,32 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
+        self.letters = _byte_letters()
+        self.space = self.letters[0x20]
         self.code = code
         self.kept = kept
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes | None] = {}
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        code = self.code
-        return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _learn(self, first: set[str], rest: set[str]) -> None:
-        new = list(first.difference(self.first))
-        self.first.update(zip(new, self._encode(new), strict=True))
-        # a piece that begins with white space belongs to the piece before it
-        odd = [p for p in rest if not p or p[0].isspace()]
-        self.rest.update((p, None) for p in odd)
-        new = list(rest.difference(odd))
-        self.rest.update(zip(new, self._encode([" " + p for p in new]), strict=True))
+        self.first = _Kept(self._whole)
+        self.rest = _Kept(self._after_space)
+
+    def _whole(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _after_space(self, piece: str) -> bytes | None:
+        """The ids of a piece and the space before it; None if it begins with white space and
+        so belongs to the piece before it."""
+        if piece.isascii() and piece.isalpha():
+            return array(self.code, [t.id for t in self.tokenize(self.space + piece)]).tobytes()
+        if not piece or piece[0].isspace():
+            return None
+        head = LETTERS.match(piece)
+        end = head.end() if head else 0
+        if end == len(piece):
+            mapped = piece.encode().decode("latin-1").translate(self.letters)
+            return array(self.code, [t.id for t in self.tokenize(self.space + mapped)]).tobytes()
+        if end and piece[end] < "\u0250" and not piece[end].isalpha():
+            return self.rest[piece[:end]] + self.first[piece[end:]]
+        return self._whole(" " + piece)
 
     def _merged(self, pieces: list[str]) -> bytes:
         parts = [pieces[0]]
@@ -50,24 +85,18 @@ class Encoder:
                 parts[-1] += " " + piece
             else:
                 parts.append(piece)
-        self._learn({parts[0]}, {p for p in parts[1:] if p not in self.rest})
-        return self.first[parts[0]] + b"".join([self.rest[p] for p in parts[1:]])
+        return self.first[parts[0]] + b"".join([self._whole(" " + p) if " " in p else self.rest[p] for p in parts[1:]])
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """The ids of each text."""
         if len(self.rest) > self.kept or len(self.first) > self.kept:
             self.first.clear()
             self.rest.clear()
-        cut = [text.split(" ") for text in texts]
-        first, rest = set(), set()
-        for pieces in cut:
-            first.add(pieces[0])
-            rest.update(pieces)
-        self._learn(first, rest.difference(self.rest))
-        get, out = self.rest.__getitem__, []
-        for pieces in cut:
+        first, rest, out = self.first, self.rest.__getitem__, []
+        for text in texts:
+            pieces = text.split(" ")
             try:
-                out.append(self.first[pieces[0]] + b"".join(map(get, pieces[1:])))
+                out.append(first[pieces[0]] + b"".join(map(rest, pieces[1:])))
             except TypeError:
                 out.append(self._merged(pieces))
         return out

@@ -18,7 +18,7 @@ PLAIN = Tokenizer.from_file(VOCABULARY)
 ENCODER = Encoder(VOCABULARY)
 
 ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "\n a", "a\n\n b", "a \n b", "it's 's", "x <|endoftext|> y", "<|endoftext|>  z",
-       "  a  b", "café 中文 \U0001f600", "the the\tthe  \t the", "a\x1c b", "word " * 3000, "1 2 3 4a b5", "　　 a"]
+       "  a  b", "café 中文 \U0001f600", "the the\tthe  \t the", "a\x1c b", "word " * 3000, "1 2 3 4a b5", "　　 a", "x fooª fooº µ aµb ªa b", "naïve café, naïve. l'été aé1"]
 
 
 def plain(text):
