@@ -121,13 +121,16 @@ def test_toxicity_held_out(spark, tables):
 
 
 def test_toxicity_tolerates_gaps():
-    clean = ["the river runs by the old mill. it is green", "we walk to town and buy bread. you are a friend and more", "rain fell on the hills all day"] * 20
-    toxic = [f"{c}. you are a {w} and more. a {w}" for c in clean[:30] for w in ("blockhead", "nitwit")]
+    random.seed(6)
+    words = ["".join(random.choices(["ra", "mo", "tel", "sin", "gu", "vor", "pe", "lan"], k=random.randrange(1, 4))) for _ in range(300)]
+    said_ = lambda: " ".join(random.choices(words, k=9))
+    clean = [f"{said_()}. {said_()}" for _ in range(200)]
+    toxic = [f"{said_()} {w} {said_()}. {said_()} {w}" for _ in range(30) for w in ("blockhead", "nitwit")]
     model = toxicity.train(clean + toxic, [0] * len(clean) + [1] * len(toxic))
     score = lambda s: float(model.score(toxicity.margins([s], model))[0])
     for said in ("a blockhead, a blockhead", "a block-head, bloxckhead here", "a b l o c k h e a d. a block.head", "a n.i.t.w.i.t nitwit here", "a nitxwit and a nittwit here"):
         assert score(said) >= toxicity.THRESHOLD, said
-    for said in ("", "the block of the head", "town and hills", None):
+    for said in ("", "the block of the head", said_(), None):
         assert score(said) < toxicity.THRESHOLD, said
     assert score("") == pytest.approx(float(toxicity.train([], []).score(np.zeros((1, 2)))[0]), abs=0.5)
 
