@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +32,23 @@ def build(position: Column, bits: int) -> Column:
     return F.substring(F.bitmap_construct_agg(position), 1, bits // 8)
 
 
+def bitmap(values: Iterable[bytes], bits: int) -> bytes:
+    """The filter of some values, hashed side by side for each length."""
+    by_length: dict[int, list[bytes]] = {}
+    for value in values:
+        by_length.setdefault(len(value), []).append(value)
+    marks = np.zeros(bits, np.uint8)
+    mask = np.uint64(t.MASK)
+    for length, group in by_length.items():
+        columns = np.frombuffer(b"".join(group), np.uint8).reshape(len(group), length).T.astype(np.uint64)
+        a, b, c = (np.full(len(group), x, np.uint64) for x in (5381, 2166136261, 0))
+        for x in columns:
+            a, b, c = (a * 33 + x) & mask, ((b ^ x) * 16777619) & mask, (x + c * 65599) & mask
+        for h in (a, b, c):
+            marks[(h % bits).astype(np.int64)] = 1
+    return np.packbits(marks, bitorder="little").tobytes()
+
+
 def _has_bit(bloom: Column, bit: int) -> Column:
     byte = F.conv(F.hex(F.substring(bloom, (bit >> 3) + 1, 1)), 16, 10).cast("int")
     return byte.bitwiseAND(F.lit(1 << (bit & 7))) != 0

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +16,7 @@ from arclog.functions.times import line_epoch
 from arclog.operators.chunking import CHUNK_BYTES, with_chunks
 
 KEY = ["archive_id", "chunk_id"]
+TOKEN_BYTES = t.TOKEN_SPLIT.encode()
 
 
 def time_zones(placed: DataFrame, fmt: str, year: int = 2024) -> DataFrame:
@@ -38,27 +43,35 @@ def field_positions(placed: DataFrame, bits: int = bloom.FIELD_BITS) -> DataFram
     return each.select(*KEY, F.explode(bloom.positions(F.col("value"), bits)).alias("bit"))
 
 
-def build_chunks(lines: DataFrame, fmt: str, year: int = 2024, chunk_bytes: int = CHUNK_BYTES, text_bits: int = bloom.TEXT_BITS, start: int = 0) -> DataFrame:
+def build_chunks(lines: DataFrame, fmt: str, year: int = 2024, chunk_bytes: int = CHUNK_BYTES, text_bits: int = bloom.TEXT_BITS, start: int = 0, filters: bool = True) -> DataFrame:
     """One row per chunk with everything but its chain link.
 
-    All four aggregations group by the same key and so share one shuffle of the lines;
-    filters are OR-ed within tasks before they are shuffled. A chunk without field values has
-    a null field filter.
+    Lines are shuffled once to their chunk; times and field values are found before, line by
+    line, and the two filters are made from a chunk's row as it stands, in Arrow batches, so
+    nothing is joined to the text again but the chunk's number. A chunk without field values
+    has a null field filter; without ``filters`` both are null, for readers that skip nothing.
     """
-    placed = with_chunks(lines, chunk_bytes, start).select(*KEY, "line_no", "offset", "raw")
-    dealt = placed.repartition(*KEY)
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "raw"))), lambda x: x["raw"])
-    body = dealt.groupBy(*KEY).agg(
-        F.concat(F.array_join(ordered, "\n"), F.lit("\n")).alias("raw"),
-        F.min("offset").alias("offset"), F.count(F.lit(1)).alias("n_lines"))
-    zones = time_zones(dealt, fmt, year)
-    text = token_positions(dealt, text_bits).groupBy(*KEY).agg(bloom.build(F.col("bit"), text_bits).alias("bloom"))
-    chunks = body.join(zones, KEY).join(text, KEY, "left")
-    if fmt == "json":
-        fields = field_positions(dealt).groupBy(*KEY).agg(bloom.build(F.col("bit"), bloom.FIELD_BITS).alias("field_bloom"))
-        chunks = chunks.join(fields, KEY, "left")
-    else:
-        chunks = chunks.withColumn("field_bloom", F.lit(None).cast("binary"))
-    numbered = chunks.select(*KEY).withColumn("seq", F.row_number().over(Window.partitionBy("archive_id").orderBy("chunk_id")).cast("long") - 1)
+    placed = with_chunks(lines, chunk_bytes, start)
+    found = placed.select(
+        *KEY, "offset", F.struct("line_no", "raw").alias("line"), line_epoch(F.col("raw"), F.lit(fmt), year).alias("ts"),
+        (t.field_values(F.col("raw")) if fmt == "json" else F.array().cast("array<string>")).alias("values"))
+    ordered = F.transform(F.array_sort(F.collect_list("line")), lambda x: x["raw"])
+    body = found.groupBy(*KEY).agg(
+        F.min("offset").alias("offset"), F.count(F.lit(1)).alias("n_lines"), F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"),
+        F.concat(F.array_join(ordered, "\n"), F.lit("\n")).alias("raw"), F.array_distinct(F.flatten(F.collect_list("values"))).alias("values"))
+    order = ["archive_id", "chunk_id", "offset", "n_lines", "min_ts", "max_ts", "raw"]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, values = batch.column(6), batch.column(7)
+            text = [bloom.bitmap(set(re.split(TOKEN_BYTES, x.as_py().encode())) - {b""}, text_bits) for x in texts]
+            field = [bloom.bitmap({v.encode() for v in x.as_py()}, bloom.FIELD_BITS) if len(x) else None for x in values]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(text, pa.binary()), pa.array(field, pa.binary())], names=[*order, "bloom", "field_bloom"])
+
+    empty = F.lit(None).cast("binary")
+    chunks = body.select(*order, empty.alias("bloom"), empty.alias("field_bloom")) if not filters else body.select(*order, "values").mapInArrow(
+        add, "archive_id string, chunk_id long, offset long, n_lines long, min_ts long, max_ts long, raw string, bloom binary, field_bloom binary")
+    # numbers without gaps, from line sizes alone
+    numbered = placed.select(*KEY).distinct().withColumn("seq", F.row_number().over(Window.partitionBy("archive_id").orderBy("chunk_id")).cast("long") - 1)
     return chunks.join(numbered, KEY).select(
         *KEY, "seq", "offset", "n_lines", F.octet_length("raw").cast("long").alias("orig_size"), "min_ts", "max_ts", "bloom", "field_bloom", "raw")

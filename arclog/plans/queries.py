@@ -33,6 +33,11 @@ def _chunks(spark, sf_dir):
     return index.build_chunks(corpus.json_log(spark, sf_dir), "json")
 
 
+def _bodies(spark, sf_dir):
+    """Chunks for queries that use neither filter."""
+    return index.build_chunks(corpus.json_log(spark, sf_dir), "json", filters=False)
+
+
 def _plain_chunks(spark, sf_dir):
     return index.build_chunks(corpus.plain_log(spark, sf_dir), "plaintext")
 
@@ -122,7 +127,7 @@ def search_stats(spark, sf_dir):
 
 
 def export_records(spark, sf_dir):
-    return export.export_records(_chunks(spark, sf_dir))
+    return export.export_records(_bodies(spark, sf_dir))
 
 
 def export_plain(spark, sf_dir):
@@ -130,15 +135,15 @@ def export_plain(spark, sf_dir):
 
 
 def export_time_window(spark, sf_dir):
-    return export.export_records(_chunks(spark, sf_dir), DAY_FROM, DAY_TO, mode="reference")
+    return export.export_records(_bodies(spark, sf_dir), DAY_FROM, DAY_TO, mode="reference")
 
 
 def export_time_window_exact(spark, sf_dir):
-    return export.export_records(_chunks(spark, sf_dir), DAY_FROM, DAY_TO)
+    return export.export_records(_bodies(spark, sf_dir), DAY_FROM, DAY_TO)
 
 
 def export_stats(spark, sf_dir):
-    return export.export_stats(_chunks(spark, sf_dir), DAY_FROM, DAY_TO)
+    return export.export_stats(_bodies(spark, sf_dir), DAY_FROM, DAY_TO)
 
 
 def csv_quoted(spark, sf_dir):
@@ -146,7 +151,7 @@ def csv_quoted(spark, sf_dir):
 
 
 def _linked(spark, sf_dir):
-    return chain.with_chain(_chunks(spark, sf_dir).select("archive_id", "seq", "chunk_id", "raw"))
+    return chain.with_chain(_bodies(spark, sf_dir).select("archive_id", "seq", "chunk_id", "raw"))
 
 
 def hash_chain(spark, sf_dir):
@@ -164,15 +169,15 @@ def _verdict(tamper: Callable[[DataFrame], DataFrame] = lambda c: c, footer: Cal
 def restore_digest(spark, sf_dir):
     """Digests of the bodies by blocks of 16 chunks, in order."""
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "raw"))), lambda x: x["raw"]), "")
-    blocks = _chunks(spark, sf_dir).groupBy(F.floor(F.col("seq") / 16).alias("block"))
+    blocks = _bodies(spark, sf_dir).groupBy(F.floor(F.col("seq") / 16).alias("block"))
     return blocks.agg(F.sha2(body.cast("binary"), 256).alias("digest"), F.sum("orig_size").alias("bytes"))
 
 
 def _halves(spark, sf_dir):
     """The log in two archives' worth of chunks, the second behind the first."""
     lines = corpus.json_log(spark, sf_dir)
-    old = index.build_chunks(lines.where("line_no % 1000 < 500"), "json").select("archive_id", "seq", "raw")
-    new = index.build_chunks(lines.where("line_no % 1000 >= 500"), "json").select("archive_id", "seq", "raw")
+    old = index.build_chunks(lines.where("line_no % 1000 < 500"), "json", filters=False).select("archive_id", "seq", "raw")
+    new = index.build_chunks(lines.where("line_no % 1000 >= 500"), "json", filters=False).select("archive_id", "seq", "raw")
     count = old.groupBy("archive_id").agg(F.count(F.lit(1)).alias("n"))
     return old.unionByName(new.join(F.broadcast(count), "archive_id").withColumn("seq", F.col("seq") + F.col("n")).drop("n"))
 
@@ -186,7 +191,7 @@ def append_union(spark, sf_dir):
 
 
 def archive_stats(spark, sf_dir):
-    return archive.stats(_chunks(spark, sf_dir))
+    return archive.stats(_bodies(spark, sf_dir))
 
 
 def retention_plan(spark, sf_dir):

@@ -27,7 +27,7 @@ from datetime import datetime, timezone
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from arclog.functions import text as t
-from arclog.functions.bloom import FIELD_BITS, TEXT_BITS
+from arclog.functions.bloom import FIELD_BITS, TEXT_BITS, bitmap
 from arclog.functions.times import date_bound
 
 # Fixed values of the format, all numbers little-endian.
@@ -49,15 +49,6 @@ FORMATS = ("json", "syslog", "plaintext")
 SCHEMA = "chunk_id long, orig_size long, min_ts long, max_ts long, chunk_hash string, raw binary"
 
 
-def bits_of(values: list[bytes], bits: int) -> bytes:
-    """A filter that holds the given values."""
-    out = bytearray(bits // 8)
-    for value in values:
-        for h in t.py_hashes(value):
-            out[h % bits >> 3] |= 1 << (h % bits & 7)
-    return bytes(out)
-
-
 def holds(bloom: bytes, value: bytes, bits: int) -> bool:
     return all(bloom[h % bits >> 3] >> (h % bits & 7) & 1 for h in t.py_hashes(value))
 
@@ -230,7 +221,7 @@ def write_file(path: str, data: bytes, fmt: str, year: int = 2024) -> None:
             seen = _times(raw, fmt, year)
             values = [str(v).encode() for row in _objects(raw) for v in (row.get(k) for k in t.FIELD_KEYS) if v is not None] if fmt == "json" else []
             body = coder.compress(raw)
-            entries.append(ENTRY.pack(f.tell(), len(body), len(raw), bits_of(_tokens(raw), TEXT_BITS), link, min(seen, default=0), max(seen, default=0), bits_of(values, FIELD_BITS)))
+            entries.append(ENTRY.pack(f.tell(), len(body), len(raw), bitmap(_tokens(raw), TEXT_BITS), link, min(seen, default=0), max(seen, default=0), bitmap(values, FIELD_BITS)))
             f.write(body)
         at = f.tell()
         f.write(b"".join(entries) + FOOTER.pack(link or bytes(32), at, len(entries)))
