@@ -97,6 +97,15 @@ def _verdict(status: str, n: str, bad: str, reason: str, expected: str, got: str
   {expected} AS expected16, {got} AS got16, {chain16} AS chain16"""
 
 
+#: The log's bytes, all ASCII, in slices of 64 KiB that cut lines.
+SLICES = "WITH RECURSIVE " + JSON_LOG + """, whole AS (SELECT string_agg(raw || chr(10), '' ORDER BY line_no) AS t FROM json_log),
+bodies AS (SELECT i AS seq, i AS chunk_id, substr(t, i * 65536 + 1, 65536) AS raw FROM whole, unnest(range((length(t) + 65535) // 65536)) AS u(i)),
+placed AS (SELECT chunk_id, raw FROM bodies),
+zones AS (
+  SELECT chunk_id, min(s) AS min_ts, max(s) AS max_ts FROM (
+    SELECT chunk_id, epoch(strptime(json_extract_string(x, '$.timestamp'), '%Y-%m-%dT%H:%M:%SZ'))::BIGINT AS s
+    FROM (SELECT chunk_id, unnest(string_split(raw, chr(10))) AS x FROM bodies) WHERE json_valid(x)) GROUP BY chunk_id)"""
+
 N = "(SELECT count(*) FROM bodies)"
 NONE = "NULL::VARCHAR"
 
@@ -172,6 +181,10 @@ def oracle_sql() -> dict[str, str]:
             "(SELECT left(sha256(unhex(c.chunk_hash) || encode('#' || substr(b.raw, 2))), 16) FROM chained c JOIN bodies b ON b.seq = 1 WHERE c.seq = 0)", NONE),
         "verify_zeroed_hash": _verdict("TAMPERED", N, "0", "chunk", "repeat('0', 16)", "(SELECT left(chunk_hash, 16) FROM chained WHERE seq = 0)", NONE),
         "verify_footer_mismatch": _verdict("TAMPERED", N + " + 1", "NULL", "footer", f"left({HEAD}, 16)", f"left({HEAD}, 16)", NONE),
+        "logz_roundtrip": SLICES + ", " + chained() + """ SELECT chunk_id, strlen(raw) AS orig_size, min_ts, max_ts, chunk_hash, sha256(raw) AS digest
+          FROM bodies JOIN zones USING (chunk_id) JOIN chained USING (seq)""",
+        "logz_pruned": SLICES + ", " + TEXT_BITS + ", " + _may_hold("text_bits", 8192, "u7", "held") + f""" SELECT chunk_id, strlen(raw) AS orig_size
+          FROM bodies JOIN zones USING (chunk_id) JOIN held USING (chunk_id) WHERE max_ts >= {FROM} AND min_ts <= {TO}""",
         "restore_digest": "WITH " + placed() + ", " + BODIES + " SELECT seq // 16 AS block, sha256(string_agg(raw, '' ORDER BY seq)) AS digest, sum(strlen(raw))::BIGINT AS bytes FROM bodies GROUP BY 1",
         "append_chain": HALVES + ", " + chained() + " SELECT seq, chunk_hash FROM chained",
         "append_union": HALVES + " SELECT seq, strlen(raw) AS bytes FROM bodies",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +14,7 @@ from arclog.functions import text as t
 from arclog.operators import archive, chain, detect, export, index, retention
 from arclog.operators.chunking import with_chunks
 from arclog.operators.search import Search
-from arclog.sources import corpus
+from arclog.sources import corpus, logz
 
 YEAR = corpus.SYSLOG_YEAR
 NOW = 1_735_689_600  # 2025-01-01T00:00:00Z, so that decisions do not change from day to day
@@ -213,12 +215,33 @@ def glob_match(spark, sf_dir):
     return corpus.objects(spark, sf_dir).select("key").join(F.broadcast(rules), F.expr("key RLIKE regex")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _exchanged(spark: SparkSession, sf_dir: str):
+    """The JSON log written as one exchange file in a shared folder; a reader of it."""
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").removeprefix("file://").removeprefix("file:")
+    os.makedirs(folder, exist_ok=True)
+    path = f"{folder}/exchange-{uuid.uuid4().hex}.logz"
+    spark.dataSource.register(logz.LogzSource)
+    corpus.json_log(spark, sf_dir).select("line_no", "raw").write.format("logz").mode("append").option("format", "json").save(path)
+    return lambda **options: spark.read.format("logz").options(**options).load(path)
+
+
+def logz_roundtrip(spark, sf_dir):
+    """Byte chunks read back, with the chain link of each as stored."""
+    return _exchanged(spark, sf_dir)().select("chunk_id", "orig_size", "min_ts", "max_ts", "chunk_hash", F.sha2("raw", 256).alias("digest"))
+
+
+def logz_pruned(spark, sf_dir):
+    """Byte chunks that a search reads, by the file's own filters and times."""
+    read = _exchanged(spark, sf_dir)(**{"query": "u7", "from": DAY_FROM, "to": DAY_TO})
+    return read.select("chunk_id", "orig_size")
+
+
 def queries() -> dict[str, Query]:
     found = [
         tokenize, chunk_sizes, chunk_time_zone, chunk_time_first_last, bloom_bits, field_bloom_bits, bloom_fill, iso_epoch, numeric_epoch,
         syslog_epoch, line_epoch, json_fields, search_stats, export_records, export_plain, export_time_window, export_time_window_exact,
         export_stats, csv_quoted, hash_chain, restore_digest, append_chain, append_union, archive_stats, retention_plan, lock_status,
-        s3_url_parse, glob_match,
+        s3_url_parse, glob_match, logz_roundtrip, logz_pruned,
     ]
     flipped = lambda c: c.withColumn("raw", F.when(F.col("seq") == 1, F.concat(F.lit("#"), F.substring("raw", 2, 1 << 30))).otherwise(F.col("raw")))
     zeroed = lambda c: c.withColumn("chunk_hash", F.when(F.col("seq") == 0, F.repeat(F.lit("0"), F.lit(64))).otherwise(F.col("chunk_hash")))
