@@ -152,7 +152,8 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, sample: int = SAMPLE
 
 def with_grades(docs: DataFrame, model: Model, tail: int = 1, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with ``expected_grade`` and ``tail``, the probability of a grade of
-    at least ``tail``."""
+    at least ``tail``; columns of these names are replaced."""
+    docs = docs.drop("expected_grade", "tail")
     at = docs.columns.index(text_col)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arclog.llm.common import checkpointed, shared_folder
+from arclog.llm.common import checkpointed, free_name, shared_folder
 from arclog.llm.components import connected_components
 
 SEED = 42
@@ -62,7 +62,9 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def with_fingerprints(docs: DataFrame, text_col: str = "text", column: str = "fp", shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs``, each with its fingerprint as a signed long."""
+    """The rows of ``docs``, each with its fingerprint as a signed long; a column of that name
+    is replaced."""
+    docs = docs.drop(column)
     at = docs.columns.index(text_col)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,13 +174,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     id stays, one of them where the id is repeated; rows without id all stay."""
     spark = docs.sparkSession
     path = shared_folder(spark, "simhash")
-    with_fingerprints(docs, text_col, "_fp", shingle).withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    fp, row = free_name(docs, "_fp"), free_name(docs, "_row")
+    with_fingerprints(docs, text_col, fp, shingle).withColumn(row, F.monotonically_increasing_id()).write.parquet(path)
     rows = spark.read.parquet(path)
-    prints = rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col("_fp").alias("fp"), "_row")
+    prints = rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(fp).alias("fp"), F.col(row).alias("row"))
     found = prints.join(components_of(prints, "id", most), "fp")
-    kept = found.where("id = component").groupBy("component").agg(F.min("_row").alias("_row")).select("_row")
-    kept = kept.union(prints.where("id IS NULL").select("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = found.where("id = component").groupBy("component").agg(F.min("row").alias(row)).select(row)
+    kept = kept.union(prints.where("id IS NULL").select("row"))
+    return rows.join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, most: int = 4) -> DataFrame:

@@ -72,7 +72,7 @@ def test_same_hash_as_spark(spark):
 
 def test_near_duplicates(spark, texts):
     ids = [None if i == 7 else 3 if i == 8 else 1000 - i for i in range(len(texts))]
-    df = spark.createDataFrame([(i, t, "x") for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, fp string")
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, _fp string, _row int")
     rows = simhash.near_duplicates(df).collect()
     prints = [simhash.fingerprint(t) for t in texts]
     want = sorted(zip(map(str, ids), (f"{p:016x}" for p in prints), map(str, plain_components(ids, prints)), strict=True))
@@ -158,7 +158,7 @@ def test_ordinal_held_out(spark, tables):
     rows = ordinal.with_grades(docs.select("doc_id", "text"), model).join(labels, "doc_id").where(held_out(F.col("doc_id"))).collect()
     right = sum((r["tail"] >= 0.5) == (r["quality"] == 1) for r in rows)
     assert right >= 0.93 * len(rows) and all(0 <= r["tail"] <= 1 and 0 <= r["expected_grade"] <= 2 for r in rows)
-    odd = spark.createDataFrame([(1, None), (None, ""), (2, " ")], "doc_id long, text string")
+    odd = spark.createDataFrame([(1, None, "x"), (None, "", "x"), (2, " ", "x")], "doc_id long, text string, tail string")
     assert len({r["tail"] for r in ordinal.with_grades(odd, model).collect()}) == 1
     assert ordinal.train([], [], 3).thresholds.tolist() == [0, 0]
 
