@@ -12,6 +12,7 @@ a hot source nor a group of copies meets in one task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -95,21 +96,22 @@ def measures(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """A rule fails where ``fails`` holds; its place in RULES is its bit and never changes."""
+    """A rule fails where ``fails`` of the measurements holds; its place in RULES is its bit and
+    never changes."""
 
     name: str
-    fails: str
+    fails: Callable[[Column], Column]
 
 
 #: Append only: the ledger stores these positions.
 RULES = (
-    Rule("few_words", "{m}.n_words < 50"),
-    Rule("repeated_windows", "100 * {m}.n_repeat_words > 50 * {m}.n_words"),
-    Rule("symbols", "100 * {m}.n_symbols > 10 * {m}.n_words"),
-    Rule("duplicate_lines", "100 * {m}.n_dup_lines > 40 * {m}.n_lines"),
-    Rule("long_words", "{m}.word_chars > 12 * {m}.n_words"),
-    Rule("short_words", "{m}.word_chars < 2 * {m}.n_words"),
-    Rule("upper_case", "2 * {m}.n_upper > {m}.word_chars"),
+    Rule("few_words", lambda m: m["n_words"] < 50),
+    Rule("repeated_windows", lambda m: m["n_repeat_words"] * 100 > m["n_words"] * 50),
+    Rule("symbols", lambda m: m["n_symbols"] * 100 > m["n_words"] * 10),
+    Rule("duplicate_lines", lambda m: m["n_dup_lines"] * 100 > m["n_lines"] * 40),
+    Rule("long_words", lambda m: m["word_chars"] > m["n_words"] * 12),
+    Rule("short_words", lambda m: m["word_chars"] < m["n_words"] * 2),
+    Rule("upper_case", lambda m: m["n_upper"] * 2 > m["word_chars"]),
 )
 
 
@@ -128,18 +130,22 @@ POLICIES = {
 }
 
 
-def failure_bits(m: str) -> Column:
-    """One bit per failed rule, from the struct column named ``m``."""
+def failure_bits(m: Column) -> Column:
+    """One bit per failed rule, from the struct of measurements."""
     bits = F.lit(0).cast("long")
     for i, rule in enumerate(RULES):
-        bits = bits + F.when(F.expr(rule.fails.format(m=f"`{m}`")), F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
+        bits = bits + F.when(rule.fails(m), F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
     return bits
 
 
 def with_ledger(docs: DataFrame, text_col: str = "text", column: str = "_ledger") -> DataFrame:
-    """``docs`` with one more struct column: the measurements and ``failed``, the rules' bits."""
-    measured = docs.withColumn(column, measures(F.col(f"`{text_col}`")))
-    return measured.withColumn(column, F.col(f"`{column}`").withField("failed", failure_bits(column)))
+    """``docs`` with one more struct column: the measurements and ``failed``, the rules' bits.
+
+    It is one expression, in which the measurements are bound once: a filter on ``failed``
+    that Catalyst moves below the projection measures a text once and not for every rule.
+    """
+    entry = let(measures(F.col(f"`{text_col}`")), lambda m: F.struct(*[m[x].alias(x) for x in MEASURES], failure_bits(m).alias("failed")))
+    return docs.withColumn(column, entry)
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
