@@ -5,8 +5,9 @@ decayed by ``DECAY`` for every character they span, and is normalised to 1 for e
 So ``idxiot`` stays close to ``idiot``. Punctuation inside a word is left out, and runs of
 single characters, as in ``i d i o t``, are read as one word as well.
 
-Landmarks are words that speak for the label toxic, none too close to a stronger one, and the
-harmless words that come closest to them. The kernels of a word to the landmarks, whitened by
+Landmarks are all words that speak for the label toxic but those within 0.9 of a stronger one,
+so each telling word is covered, and the harmless words that come closest to them, at least
+half as many. Their number has no bound but that of the training sample. The kernels of a word to the landmarks, whitened by
 the landmarks' own kernel matrix (Nyström), are its features. A sentence is as toxic as its
 most toxic word: a linear SVM learns that every word of harmless sentences lies on one side
 and the words that make sentences toxic on the other, as they stand and, with less weight,
@@ -48,6 +49,7 @@ ORDER = 3
 DECAY = 0.9
 #: Kernels below this count as 0, in training and scoring alike.
 FLOOR = 0.5
+#: Landmarks that harmless words fill up to; more if the telling words need more than two thirds.
 LANDMARKS = 96
 #: Pairs of words whose kernels are computed together; their tables stay in the cache.
 ROWS = 1024
@@ -291,12 +293,12 @@ def train(texts: list[str | None], labels: list[int], landmarks: int = LANDMARKS
     toxic: list[str] = []
     covered = np.zeros(len(telling))
     for i, vector in enumerate(Kernels(telling).of(telling)):
-        if covered[i] < 0.9 and len(toxic) < landmarks * 2 // 3:
+        if covered[i] < 0.9:
             toxic.append(telling[i])
             covered = np.maximum(covered, vector if vector is not None else 0)
     harmless = sorted(set(seen[0]).difference(telling))
     closest = sorted((-v.max() * np.log1p(seen[0][w]), w) for w, v in zip(harmless, Kernels(toxic).of(harmless), strict=True) if v is not None and len(w) <= WINDOW)
-    chosen = toxic + [w for _, w in closest[: landmarks - len(toxic)]]
+    chosen = toxic + [w for _, w in closest[: max(landmarks - len(toxic), len(toxic) // 2)]]
     kernels = Kernels(chosen)
     gram = np.zeros((len(chosen), len(chosen)))
     for z in range(len(chosen)):

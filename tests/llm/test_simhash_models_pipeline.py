@@ -135,6 +135,19 @@ def test_toxicity_tolerates_gaps():
     assert score("") == pytest.approx(float(toxicity.train([], []).score(np.zeros((1, 2)))[0]), abs=0.5)
 
 
+def test_every_telling_word_counts():
+    random.seed(7)
+    drawn = lambda letters, n: ["".join(random.choices(letters, k=9)) for _ in range(n)]
+    words, insults = drawn("aeioubcdfg", 300), drawn("hjklmnpqrstvwxyz", 100)
+    said_ = lambda: " ".join(random.choices(words, k=9))
+    clean = [f"{said_()}. {said_()}" for _ in range(2000)]
+    toxic = [f"{said_()} {w} {said_()}. {said_()} {w}" for _ in range(10) for w in insults]
+    model = toxicity.train(clean + toxic, [0] * len(clean) + [1] * len(toxic))
+    assert set(insults) <= set(model.landmarks)
+    scores = model.score(toxicity.margins([f"{said_()} {w}. {w} {said_()}" for w in insults] + clean, model))
+    assert (scores[: len(insults)] >= toxicity.THRESHOLD).all() and (scores[len(insults) :] < toxicity.THRESHOLD).all()
+
+
 def test_kernel_is_the_sum_over_subsequences():
     from itertools import combinations
 
