@@ -8,11 +8,14 @@ single characters, as in ``i d i o t``, are read as one word as well.
 Landmarks are all words that speak for the label toxic but those within 0.9 of a stronger one,
 so each telling word is covered, and the harmless words that come closest to them, at least
 half as many. Their number has no bound but that of the training sample. The kernels of a word to the landmarks, whitened by
-the landmarks' own kernel matrix (Nyström), are its features. A sentence is as toxic as its
-most toxic word: a linear SVM learns that every word of harmless sentences lies on one side
-and the words that make sentences toxic on the other, as they stand and, with less weight,
-with a character inserted. A document scores by its two most toxic words, as a single one may
-be chance: how much each counts is learned from the labelled documents.
+the landmarks' own kernel matrix (Nyström), are its features; those of a sentence are the
+largest over its words. A linear SVM is trained on sentences: all of harmless documents against
+those of toxic documents that are toxic, at first the ones with a telling word, then those that
+the model itself finds, in ``ROUNDS`` rounds; and, with less weight, against the telling words
+with a character inserted. Sentences with the same close words are one row with their count, so
+training holds no sentence. A document scores by its two most toxic words, each as a sentence of
+its own, as a single one may be chance: how much each counts is learned from the labelled
+documents.
 
 Labels are known for documents, of which near-copies are left out of training: all sentences
 of harmless documents are harmless, and in toxic ones those words count that chance does not
@@ -57,8 +60,10 @@ ROWS = 1024
 BLOCK = 20_000
 #: Scores from here on mean toxic.
 THRESHOLD = 0.7
+#: Times that the toxic sentences are sought anew.
+ROUNDS = 3
 #: Labelled documents of each label that learning takes at most.
-SAMPLE = 1000
+SAMPLE = 1500
 #: Words are compared in windows of so many characters, each overlapping half of the one before.
 WINDOW = 24
 #: Words whose kernels a worker keeps; beyond them it starts anew.
@@ -256,7 +261,7 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-4
 
 def train(texts: list[str | None], labels: list[int], landmarks: int = LANDMARKS) -> Model:
     """A model from labelled documents; see the module's text for what is learned."""
-    documents, y, known = [], [], set()
+    documents, y, own, known = [], [], [], set()
     for text, label in zip(texts, labels, strict=True):
         cut = sentences(text)
         # copies would make every word of theirs tell of their label
@@ -265,6 +270,7 @@ def train(texts: list[str | None], labels: list[int], landmarks: int = LANDMARKS
         known.update(cut)
         documents.append({intern(w) for s in cut for w in words_in(s) if len(w) >= ORDER})
         y.append(label)
+        own.append(text)
     del known
     y = np.array(y, int)
     n = [int((y == 0).sum()), int(y.sum())]
@@ -308,16 +314,29 @@ def train(texts: list[str | None], labels: list[int], landmarks: int = LANDMARKS
 
     # each telling word with a character inserted, at every place
     altered = [w[:i] + "xqjzk"[i % 5] + w[i:] for w in toxic for i in range(1, len(w))]
-    groups = [(telling, [seen[1][w] for w in telling], 1.0, 0.4), (altered, [1] * len(altered), 1.0, 0.1), (harmless, [min(20, seen[0][w]) for w in harmless], -1.0, 0.45)]
-    x, sign, weight = [np.zeros((1, len(chosen)))], [np.array([-1.0])], [np.array([0.05])]
-    for words, times, label, share in groups:
-        near = [(v, k) for v, k in zip(kernels.of(words), times, strict=True) if v is not None]
-        if near:
-            counts = np.array([k for _, k in near], float)
-            x.append(np.stack([v for v, _ in near]) @ whiten)
-            sign.append(np.full(len(near), label))
-            weight.append(share * counts / counts.sum())
-    w, b = _svm(np.vstack(x), np.concatenate(sign), np.concatenate(weight))
+    spoilt = np.stack([v for v in kernels.of(altered) if v is not None] or [np.zeros(len(chosen))]) @ whiten
+    every = sorted(set(seen[0]).union(seen[1]))
+    near = {w: v for w, v in zip(every, kernels.of(every), strict=True) if v is not None}
+    del every, seen
+    # sentences that have the same words close to landmarks are one row with their count
+    count = [Counter(), Counter()]
+    for text, label in zip(own, y, strict=True):
+        count[label].update(frozenset(near.keys() & words_in(s)) for s in sentences(text))
+    none = frozenset()
+    clean, said = ([x for x in sorted(c, key=sorted) if x != none] for c in count)
+    vectors = lambda some: np.stack([np.max([near[w] for w in x], axis=0) for x in some] or [np.zeros(len(chosen))]) @ whiten
+    x0, x1 = vectors(clean), vectors(said)
+    times0, times1 = (np.array([c[x] for x in some] or [1], float) for c, some in ((count[0], clean), (count[1], said)))
+    told = set(telling)
+    positive = np.array([not told.isdisjoint(x) for x in said])
+    for _ in range(ROUNDS):
+        rows = [x0, x1[positive], spoilt, np.zeros((1, len(chosen)))]
+        weight = [0.45 * times0 / times0.sum(), 0.4 * times1[positive] / times1[positive].sum(), np.full(len(spoilt), 0.1 / len(spoilt)), [0.05]]
+        sign = np.repeat([-1.0, 1.0, 1.0, -1.0], [len(r) for r in rows])
+        w, b = _svm(np.vstack(rows), sign, np.concatenate(weight))
+        before, positive = positive, x1 @ w + b > 0
+        if not positive.any() or (positive == before).all():
+            break
     model = Model(chosen, whiten @ w, b, np.ones(2), 0.0)
     margin = margins([t for t in texts], model)
     every = np.array(labels, int)

@@ -148,6 +148,30 @@ def test_every_telling_word_counts():
     assert (scores[: len(insults)] >= toxicity.THRESHOLD).all() and (scores[len(insults) :] < toxicity.THRESHOLD).all()
 
 
+def test_toxicity_learns_from_sentences(monkeypatch):
+    taken = []
+    svm = toxicity._svm
+    monkeypatch.setattr(toxicity, "_svm", lambda x, y, weight: taken.append((x, y)) or svm(x, y, weight))
+    clean = [f"the word number{i} is here and there. nothing else" for i in range(100)]
+    # no two documents share a sentence, or they would be copies
+    toxic = [f"the blockhead {i}. a nitwit {i} there. a nitwit and blockhead {i}" for i in range(100)]
+    model = toxicity.train(clean + toxic, [0] * 100 + [1] * 100)
+    (x, y), kernels = taken[-1], toxicity.Kernels(model.landmarks)
+    one, two = kernels.of(["blockhead", "nitwit"])
+    gram = np.stack([toxicity.subsequence_kernel(kernels.codes, np.tile(c, (len(kernels.codes), 1))) for c in kernels.codes])
+    gram /= np.outer(kernels.norms, kernels.norms)
+    value, vector = np.linalg.eigh((gram + gram.T) / 2)
+    both = np.maximum(one, two) @ (vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-2))) @ vector.T)
+    assert any(label == 1 and np.allclose(row, both, atol=1e-6) for row, label in zip(x, y, strict=True))
+
+
+def test_toxicity_takes_1500_of_each_label(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: [len(labels) - sum(labels), sum(labels)])
+    docs = spark.range(6000).selectExpr("id AS doc_id", "'a' AS text")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 2) AS toxic")
+    assert toxicity.fit(docs, labels) == [1500, 1500]
+
+
 def test_kernel_is_the_sum_over_subsequences():
     from itertools import combinations
 
