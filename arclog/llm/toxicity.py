@@ -38,7 +38,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, combinations
 from sys import intern
 
 import numpy as np
@@ -64,8 +64,10 @@ THRESHOLD = 0.7
 ROUNDS = 3
 #: Labelled documents of each label that learning takes at most.
 SAMPLE = 1500
-#: Words are compared in windows of so many characters, each overlapping half of the one before.
+#: Words of more characters are compared in windows, whose length fits the landmark.
 WINDOW = 24
+#: Subsequences that are looked up together.
+TRIPLES = 500_000
 #: Words whose kernels a worker keeps; beyond them it starts anew.
 KEPT_WORDS = 400_000
 
@@ -114,27 +116,20 @@ def _self_kernel(words: np.ndarray) -> np.ndarray:
     return subsequence_kernel(words, words)
 
 
-def _letters(codes: np.ndarray) -> np.ndarray:
-    """A set of each row's characters as bits."""
-    bits = np.where(codes > 0, np.left_shift(np.uint64(1), (codes % 61).astype(np.uint64)), np.uint64(0))
-    return np.bitwise_or.reduce(bits, axis=1)
+@lru_cache(maxsize=WINDOW)
+def _triples(width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of every ``ORDER`` characters of a word, and what gaps leave of each."""
+    at = np.array(list(combinations(range(width), ORDER)), np.intp).reshape(-1, ORDER).T
+    return at, DECAY ** (at[-1] - at[0] + 1.0)
 
 
-def _pairs(codes: np.ndarray) -> np.ndarray:
-    """A set of each row's pairs of characters, neighbours and next but one, as 128 bits."""
-    out = np.zeros((len(codes), 2), np.uint64)
-    for step in (1, 2):
-        a, b = codes[:, :-step].astype(np.uint64), codes[:, step:].astype(np.uint64)
-        hashed = (a * np.uint64(2654435761) + b * np.uint64(40503)) >> np.uint64(7)
-        bit = np.where((a > 0) & (b > 0), np.left_shift(np.uint64(1), hashed & np.uint64(63)), np.uint64(0))
-        upper = (hashed & np.uint64(64)) > 0
-        out[:, 0] |= np.bitwise_or.reduce(np.where(upper, np.uint64(0), bit), axis=1)
-        out[:, 1] |= np.bitwise_or.reduce(np.where(upper, bit, np.uint64(0)), axis=1)
-    return out
-
-
-def _windows(word: str) -> list[str]:
-    return [word] if len(word) <= WINDOW else [word[i : i + WINDOW] for i in range(0, len(word) - WINDOW // 2, WINDOW // 2)]
+def _windows(word: str, length: int) -> set[str]:
+    """Parts of a long word that fit landmarks of ``length``: about a fourth longer, so that the
+    rest of a window does not hide one; each ``length`` + 1 characters are whole in one."""
+    more = max(1, length // 4)
+    size = min(WINDOW, length + more)
+    last = len(word) - size
+    return {word[i : i + size] for i in [*range(0, last, size - length or 1), last]}
 
 
 @lru_cache(maxsize=1)
@@ -147,24 +142,52 @@ def _distinct_norms() -> np.ndarray:
 
 
 class Kernels:
-    """Normalised kernels of words with the landmarks.
+    """Normalised kernels of words with the landmarks; those below FLOOR count as 0. A word
+    close to no landmark has None.
 
-    A word is compared with a landmark if it has most of its different characters and near half
-    of its pairs of characters, and is at most about twice as long; other kernels count as 0,
-    as do those below FLOOR. A word close to no landmark has None.
+    The subsequences of the landmarks are numbered and have the landmarks' weights as rows, so
+    a word's kernels with all landmarks are the sum of the rows of its own subsequences. Before
+    that, a word is left out only if the sum of each row's largest weight, divided by the least
+    norm of its length, is below FLOOR: no kernel of it can reach FLOOR then.
     """
 
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
         self.codes = codes = _codes(landmarks, WINDOW) if landmarks else np.zeros((0, WINDOW), np.uint32)
         self.norms = np.sqrt(_self_kernel(codes)) if landmarks else np.zeros(0)
-        self.letters, self.pairs = _letters(codes), _pairs(codes)
-        self.needed_pairs = 0.45 * np.bitwise_count(self.pairs).sum(axis=1)
-        different = np.bitwise_count(self.letters).astype(int) if landmarks else np.zeros(0, int)
-        self.needed = different - (different >= 5) - (different >= 7)
         self.lengths = np.array([len(z) for z in landmarks], int)
-        self.longest = 2 * self.lengths + 2
         self.least = _distinct_norms()
+        self.letters = np.unique(np.append(codes, 0))
+        at, decayed = _triples(WINDOW)
+        keys = self._keys(codes, at)
+        self.known = np.unique(np.append(keys, -1))
+        place = np.searchsorted(self.known, keys)
+        self.rows = np.zeros((len(self.known), len(landmarks)))
+        for z in range(len(landmarks)):
+            self.rows[:, z] = np.bincount(place[z], decayed, len(self.known)) / self.norms[z]
+        self.rows[0] = 0  # that of -1, subsequences of no landmark
+        self.most = self.rows.max(axis=1, initial=0.0)
+        # where there are few letters, a table is faster than a search
+        self.table = None
+        if len(self.letters) <= 200:
+            self.table = np.zeros(len(self.letters) ** ORDER, np.int32)
+            self.table[self.known[1:]] = np.arange(1, len(self.known))
+
+    def _keys(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Subsequences as numbers; -1 with a character that no landmark has."""
+        letter = np.searchsorted(self.letters, codes)
+        letter[self.letters[np.minimum(letter, len(self.letters) - 1)] != codes] = 0
+        first, second, third = (letter[:, x] for x in at)
+        key = (first * len(self.letters) + second) * len(self.letters) + third
+        key[(first == 0) | (second == 0) | (third == 0)] = -1
+        return key
+
+    def _places(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        keys = self._keys(codes, at)
+        if self.table is not None:
+            return np.where(keys < 0, 0, self.table[keys])
+        found = np.searchsorted(self.known, keys)
+        return np.where(self.known[np.minimum(found, len(self.known) - 1)] == keys, found, 0)
 
     def _of(self, words: list[str]) -> list[np.ndarray | None]:
         """For words of at most WINDOW characters."""
@@ -172,47 +195,48 @@ class Kernels:
         by_width: dict[int, list[int]] = {}
         for i, word in enumerate(words):
             if len(word) >= ORDER:
-                by_width.setdefault(-(-len(word) // 3) * 3, []).append(i)
-        for width, members in by_width.items():
-            codes = _codes([words[i] for i in members], width)
-            letters, size, pairs = _letters(codes), (codes > 0).sum(axis=1), _pairs(codes)
-            first, second = np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])
-            where, which = [], []
-            for z in np.flatnonzero(self.longest >= width - 2).tolist():
-                rows = np.flatnonzero(np.bitwise_count(letters & self.letters[z]) >= self.needed[z])
-                shared = np.bitwise_count(first[rows] & self.pairs[z, 0]) + np.bitwise_count(second[rows] & self.pairs[z, 1])
-                where.append(rows[(shared >= self.needed_pairs[z]) & (size[rows] <= self.longest[z])])
-                which.append(np.full(len(where[-1]), z))
-            if not where:
-                continue
-            at, z = np.concatenate(where), np.concatenate(which)
-            kernel = np.zeros(len(at))
-            for length in np.unique(self.lengths[z]):
-                some = np.flatnonzero(self.lengths[z] == length)
-                kernel[some] = subsequence_kernel(codes[at[some]], self.codes[z[some], :length])
-            kernel /= self.norms[z]
-            near = kernel >= FLOOR * self.least[size[at]]
-            at, z, kernel = at[near], z[near], kernel[near]
-            some, back = np.unique(at, return_inverse=True)
-            if len(some):
-                kernel /= np.sqrt(_self_kernel(codes[some]))[back]
-            vectors = np.zeros((len(some), len(self.landmarks)))
-            vectors[back, z] = np.where(kernel >= FLOOR, kernel, 0.0)
-            for row, vector in zip(some.tolist(), vectors, strict=True):
-                if vector.any():
-                    found[members[row]] = vector
+                by_width.setdefault(len(word), []).append(i)
+        for width, every in by_width.items():
+            at, decayed = _triples(width)
+            step = max(1, TRIPLES // len(decayed))
+            for start in range(0, len(every), step):
+                members = every[start : start + step]
+                codes = _codes([words[i] for i in members], width)
+                places = self._places(codes, at)
+                some = np.flatnonzero(self.most[places] @ decayed >= FLOOR * self.least[width] * (1 - 1e-9))
+                if not len(some):
+                    continue
+                kernel = np.zeros((len(some), len(self.landmarks)))
+                for row, x in enumerate(places[some]):
+                    there = np.flatnonzero(x)
+                    kernel[row] = decayed[there] @ self.rows[x[there]]
+                near = kernel.max(axis=1) >= FLOOR * self.least[width] * (1 - 1e-9)
+                some, kernel = some[near], kernel[near]
+                if len(some):
+                    kernel /= np.sqrt(_self_kernel(codes[some]))[:, None]
+                kernel[kernel < FLOOR] = 0.0
+                for row, vector in zip(some.tolist(), kernel, strict=True):
+                    if vector.any():
+                        found[members[row]] = vector
         return found
 
+    def _of_long(self, word: str) -> np.ndarray | None:
+        """The largest kernels over a long word's windows, each for the landmarks that it fits."""
+        out = np.zeros(len(self.landmarks))
+        for length in np.unique(self.lengths).tolist():
+            fits = self.lengths == length
+            near = [v for v in self._of(sorted(_windows(word, length))) if v is not None]
+            if near:
+                out[fits] = np.max(near, axis=0)[fits]
+        return out if out.any() else None
+
     def of(self, words: list[str]) -> list[np.ndarray | None]:
         """The kernels of each word, the largest over the windows of a long one."""
         out: list[np.ndarray | None] = []
         for at in range(0, len(words), BLOCK):
             some = words[at : at + BLOCK]
-            cut = [_windows(w) for w in some]
-            vectors = iter(self._of([x for parts in cut for x in parts]))
-            for parts in cut:
-                near = [v for v in [next(vectors) for _ in parts] if v is not None]
-                out.append(np.max(near, axis=0) if near else None)
+            short = iter(self._of([w for w in some if len(w) <= WINDOW]))
+            out += [next(short) if len(w) <= WINDOW else self._of_long(w) for w in some]
         return out
 
 
@@ -350,16 +374,22 @@ def train(texts: list[str | None], labels: list[int], landmarks: int = LANDMARKS
 
 
 def _logistic(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, float]:
-    """Platt's calibration for some margins, by Newton steps with a slight pull towards 1."""
-    a, p = np.hstack([x, np.ones((len(x), 1))]), np.r_[np.ones(x.shape[1]), 0.0]
+    """Platt's calibration for some margins, by Newton steps with a slight pull towards 1; a step
+    is halved until the loss falls, so it cannot run past the least loss."""
+    a, aim = np.hstack([x, np.ones((len(x), 1))]), np.r_[np.ones(x.shape[1]), 0.0]
     pull = np.r_[np.full(x.shape[1], 0.1), 1e-6]
+    loss = lambda p: (np.logaddexp(0, a @ p) - target * (a @ p)).sum() + (pull * (p - aim) ** 2).sum() / 2
+    p, now = aim, loss(aim)
     for _ in range(100):
         q = 1 / (1 + np.exp(-np.clip(a @ p, -30, 30)))
         h = a.T @ (a * (q * (1 - q))[:, None]) + np.diag(pull)
-        step = np.linalg.solve(h, a.T @ (q - target) + pull * (p - np.r_[np.ones(x.shape[1]), 0.0]))
-        p = p - np.clip(step, -5, 5)
+        step = np.linalg.solve(h, a.T @ (q - target) + pull * (p - aim))
+        while np.abs(step).max() >= 1e-8 and not loss(p - step) < now:
+            step = step / 2
         if np.abs(step).max() < 1e-8:
             break
+        p = p - step
+        now = loss(p)
     return p[:-1], float(p[-1])
 
 

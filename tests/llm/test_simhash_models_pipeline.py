@@ -188,6 +188,40 @@ def test_kernel_is_the_sum_over_subsequences():
         assert toxicity.subsequence_kernel(*codes)[0] == pytest.approx(plain(a, b))
 
 
+def test_kernels_leave_out_no_close_word():
+    pairs = [("nitit", "nitwit"), ("iiot", "idiot"), ("moon", "moron"), ("loer", "loser"), ("nit0it", "nitwit"), ("scu", "scum"), ("jd", "scum"), ("idioma", "idiot")]
+    random.seed(8)
+    pairs += [("".join(random.choices("abcdé", k=random.randrange(3, 25))), "".join(random.choices("abcdé", k=random.randrange(3, 12)))) for _ in range(400)]
+    for word, landmark in pairs:
+        a, b = toxicity._codes([word], 24), toxicity._codes([landmark], 24)
+        norms = toxicity._self_kernel(a)[0] * toxicity._self_kernel(b)[0]
+        want = toxicity.subsequence_kernel(a, b)[0] / np.sqrt(norms) if norms else 0.0
+        found = toxicity.Kernels([landmark]).of([word])[0]
+        assert (found is None) == (want < toxicity.FLOOR) and (found is None or found[0] == pytest.approx(want)), (word, landmark)
+    many = [w for w, _ in pairs if len(w) >= 3]
+    marks = [f"{chr(0x4E00 + i)}{chr(0x4F00 + i)}{chr(0x5000 + i)}" for i in range(90)] + ["idiot"]  # too many letters for a table
+    assert all((a is None) == (b is None) or a is None or not a.any() for a, b in zip(toxicity.Kernels(marks).of(many), toxicity.Kernels(["idiot"]).of(many), strict=True))
+
+
+def test_calibration_has_the_least_loss():
+    rng = np.random.default_rng(3)
+    for scale in (1, 3, 10):
+        x = np.abs(rng.normal(size=(2000, 2))) * scale * (rng.random((2000, 2)) < 0.15) - [0.86, 0]
+        target = np.where(x.sum(axis=1) > scale, 0.997, 0.001)
+        slopes, shift = toxicity._logistic(x, target)
+        q = 1 / (1 + np.exp(-(x @ slopes + shift)))
+        assert np.abs(np.r_[x.T @ (q - target) + 0.1 * (slopes - 1), (q - target).sum()]).max() < 1e-3
+
+
+def test_run_together_words():
+    kernels = toxicity.Kernels(["idiot", "scum", "worthless"])
+    for i, insult in enumerate(["idiot", "idixot", "scum", "worthless", "worthlxess"]):
+        for before in range(24):
+            word = ("qzgjvyfhkbpdn" * 3)[:before] + insult + "qzgjvyfhkbpdn" * 2
+            found = kernels.of([word])[0]
+            assert found is not None and found[[0, 0, 1, 2, 2][i]] >= toxicity.FLOOR, word
+
+
 def test_ordinal_held_out(spark, tables):
     docs, labels = tables
     model = ordinal.fit(docs, ordinal.grades_of(labels), 3)
