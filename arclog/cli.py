@@ -67,6 +67,14 @@ def lines_of(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("raw"))
 
 
+def print_all(df: DataFrame) -> None:
+    """Every row, tab-separated below the names of the columns; one partition at a time comes
+    to the driver."""
+    print("\t".join(df.columns))
+    for row in df.toLocalIterator():
+        print("\t".join("" if x is None else str(x) for x in row))
+
+
 def run(spark: SparkSession, args: argparse.Namespace) -> int:
     if args.command in ("compress", "append"):
         lines = lines_of(spark, args.input)
@@ -94,12 +102,12 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
             print(row.asDict())
         return int(any(row["status"] != "VERIFIED" for row in verdicts))
     elif args.command == "verify-lock":
-        retention.lock_status(spark.read.parquet(args.objects), args.now or int(time.time())).show(truncate=False)
+        print_all(retention.lock_status(spark.read.parquet(args.objects), args.now or int(time.time())))
     else:
         with open(args.config) as f:
             streams = policy.as_table(spark, policy.parse(f.read()))
         there = objects.listed(spark, args.objects) if args.list else spark.read.parquet(args.objects)
-        retention.plan(there, streams, args.now or int(time.time())).show(1000, truncate=False)
+        print_all(retention.plan(there, streams, args.now or int(time.time())))
     return 0
 
 

@@ -154,3 +154,14 @@ def test_commands(spark, tmp_path, capsys):
     assert run("export", store, str(tmp_path / "out"), "--id", "x", "--format", "json") == 0
     assert run("decompress", store, "--id", "x", "--output", str(tmp_path / "back")) == 0
     assert (tmp_path / "back").read_text() == log.read_text() * 2
+
+
+def test_commands_print_every_object(spark, tmp_path, capsys):
+    keys = [f"debug/{i}.logz" for i in range(1200)]
+    rows = [("logs", k, "2024-01-01T00:00:00Z", None, None) for k in keys]
+    spark.createDataFrame(rows, "bucket string, key string, last_modified string, lock_mode string, lock_until string").write.parquet(str(tmp_path / "objects"))
+    (tmp_path / "policy.yaml").write_text(POLICY)
+    for args in (["verify-lock", str(tmp_path / "objects")], ["retention", str(tmp_path / "policy.yaml"), str(tmp_path / "objects")]):
+        assert cli.run(spark, cli.parser().parse_args([*args, "--now", "1735689600"])) == 0
+        printed = capsys.readouterr().out
+        assert len(printed.splitlines()) == 1201 and all(k in printed for k in keys)
