@@ -31,16 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arclog.llm.common import held_out
+from arclog.llm.common import Kept, held_out, of_worker
 
 BUCKETS = 1 << 16
 SAMPLE = 4000
 ROUNDS = 150
-#: Words whose buckets a worker keeps; beyond them it starts anew.
-KEPT_WORDS = 300_000
-
 _SHAPES = ((re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"\d+"), "0"))
-_KEPT: dict[str, tuple[int, int]] = {}
 _SIGN = re.compile(r"[^\w\s]")
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 
@@ -49,11 +45,12 @@ def _bucket(name: str) -> int:
     return zlib.crc32(name.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
-def _buckets(word: str) -> tuple[int, int]:
+def _buckets(word: str) -> int:
+    """The bucket of a word and, in the lower 16 bits, that of its shape."""
     shape = word
     for pattern, sign in _SHAPES:
         shape = pattern.sub(sign, shape)
-    return _bucket("w " + word.lower()), _bucket("s " + shape[:24])
+    return _bucket("w " + word.lower()) << 16 | _bucket("s " + shape[:24])
 
 
 def _step(name: str, share: float) -> int:
@@ -66,14 +63,9 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     words = text.split()
     if not words:
         return np.array([_bucket("none")]), np.ones(1)
-    if len(_KEPT) > KEPT_WORDS:
-        _KEPT.clear()
     different = set(words)
-    for word in different:
-        if word not in _KEPT:
-            _KEPT[word] = _buckets(word)
-    found = np.array([_KEPT[word] for word in different])
-    shapes, times = np.unique(found[:, 1], return_counts=True)
+    found = np.fromiter(map(of_worker("buckets", lambda: Kept(_buckets)).__getitem__, different), np.int64, len(different))
+    shapes, times = np.unique(found & 0xFFFF, return_counts=True)
     lines = [line for line in text.split("\n") if line and not line.isspace()]
     chars = sum(map(len, words))
     steps = [
@@ -88,7 +80,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         times / np.sqrt((times.astype(float) ** 2).sum()),
         np.ones(len(steps)),
     ]
-    return np.r_[found[:, 0], shapes, steps], values
+    return np.r_[found >> 16, shapes, steps], values
 
 
 @dataclass

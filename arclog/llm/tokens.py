@@ -2,8 +2,8 @@
 
 A byte-level BPE of this kind never merges across a space that stands before other than white
 space: such a space always begins a piece of the splitting pattern. So a text is cut at just
-those spaces, each distinct piece is encoded once by the library and kept, and the ids of the
-text are the pieces' ids put together. A run of Latin letters at the head of such a piece is
+those spaces, each piece is encoded by the library, the common ones once (``Kept`` bounds their
+bytes), and the ids of the text are the pieces' ids put together. A run of Latin letters at the head of such a piece is
 one match of the pattern as well and goes to the library's model without the pattern. The
 result equals encoding the whole text.
 """
@@ -14,10 +14,11 @@ import os
 import re
 from array import array
 from collections.abc import Iterable
-from functools import lru_cache
 
-#: Pieces that a worker keeps; beyond them it starts anew. Bounds memory, not results.
-KEPT_PIECES = 900_000
+from arclog.llm.common import Kept, of_worker
+
+#: Bytes of pieces that a worker keeps, and a quarter of it for the beginnings of texts.
+KEPT_PIECES = 72 << 20
 
 #: Letters of every Unicode version: those of ASCII, Latin-1 and Latin Extended-A and -B.
 LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
@@ -31,18 +32,6 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b if b in plain else next(others)) for b in range(256)}
 
 
-class _Kept(dict):
-    """Ids by piece; what is not yet there is made and kept."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, piece: str):
-        ids = self[piece] = self.make(piece)
-        return ids
-
-
 class Encoder:
     """Ids as little-endian unsigned bytes of ``code`` ('H': two bytes, 'I': four)."""
 
@@ -55,9 +44,8 @@ class Encoder:
         self.letters = _byte_letters()
         self.space = self.letters[0x20]
         self.code = code
-        self.kept = kept
-        self.first = _Kept(self._whole)
-        self.rest = _Kept(self._after_space)
+        self.first = Kept(self._whole, kept // 4)
+        self.rest = Kept(self._after_space, kept)
 
     def _whole(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -89,9 +77,6 @@ class Encoder:
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """The ids of each text."""
-        if len(self.rest) > self.kept or len(self.first) > self.kept:
-            self.first.clear()
-            self.rest.clear()
         first, rest, out = self.first, self.rest.__getitem__, []
         for text in texts:
             pieces = text.split(" ")
@@ -102,10 +87,9 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, code: str = "I") -> Encoder:
-    """One encoder for each vocabulary and worker, kept from task to task."""
-    return Encoder(path, code)
+    """One encoder for each worker, kept from task to task while no other is asked for."""
+    return of_worker(("encoder", path, code), lambda: Encoder(path, code))
 
 
 def encoded(texts: list[str | None], path: str, code: str = "I", group: int = 64, most: int = 1 << 22) -> Iterable[bytes]:

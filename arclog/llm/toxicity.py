@@ -26,9 +26,9 @@ their ids, so the driver's share does not grow. Scoring reads every whole text.
 
 Defined cases: null, empty and blank texts have no sentence and score like a sentence without
 any known word. Documents without id are scored and are not held out. Repeated rows are
-scored alike. Without labels of both kinds, or without any telling word,
+scored alike and count once in learning. Without labels of both kinds, or without any telling word,
 every score is 0. Extra columns are kept by
-``with_scores`` and ignored by the query. An empty table gives no rows.
+``with_scores``, one named like the score is replaced, and ignored by the query. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain, combinations
+from itertools import combinations
 from sys import intern
 
 import numpy as np
@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arclog.llm.common import held_out
+from arclog.llm.common import ENTRY_BYTES, KEPT_BYTES, KEPT_KEY, held_out, of_worker
 
 ORDER = 3
 DECAY = 0.9
@@ -56,8 +56,9 @@ FLOOR = 0.5
 LANDMARKS = 96
 #: Pairs of words whose kernels are computed together; their tables stay in the cache.
 ROWS = 1024
-#: Words that are prepared together.
+#: Words that are prepared together, and texts.
 BLOCK = 20_000
+GROUP = 256
 #: Scores from here on mean toxic.
 THRESHOLD = 0.7
 #: Times that the toxic sentences are sought anew.
@@ -68,11 +69,15 @@ SAMPLE = 1500
 WINDOW = 24
 #: Subsequences that are looked up together.
 TRIPLES = 500_000
-#: Words whose kernels a worker keeps; beyond them it starts anew.
-KEPT_WORDS = 400_000
+#: Landmarks of a group, for which one bound is computed.
+NEIGHBOURS = 8
+#: Cells of a block of kernels that are summed up together.
+CELLS = 1 << 21
 
 SENTENCE = re.compile(r"[.!?\n]+(?:\s+|$)")
 PUNCTUATION = dict.fromkeys(map(ord, "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"))
+#: What a text has if SINGLES finds anything in one of its sentences.
+SINGLES_HERE = re.compile(r"(?<!\S)\S\s\S\s\S(?=[\s.!?]|$)")
 SINGLES = re.compile(r"(?<!\S)\S(?:\s\S(?!\S)){2,}")
 
 
@@ -148,7 +153,8 @@ class Kernels:
     The subsequences of the landmarks are numbered and have the landmarks' weights as rows, so
     a word's kernels with all landmarks are the sum of the rows of its own subsequences. Before
     that, a word is left out only if the sum of each row's largest weight, divided by the least
-    norm of its length, is below FLOOR: no kernel of it can reach FLOOR then.
+    norm of its length, is below FLOOR: no kernel of it can reach FLOOR then. The largest weight
+    is taken over all landmarks first, then over each group of NEIGHBOURS that are alike.
     """
 
     def __init__(self, landmarks: list[str]):
@@ -167,12 +173,27 @@ class Kernels:
             self.rows[:, z] = np.bincount(place[z], decayed, len(self.known)) / self.norms[z]
         self.rows[0] = 0  # that of -1, subsequences of no landmark
         self.most = self.rows.max(axis=1, initial=0.0)
+        self.most_near = np.stack([self.rows[:, some].max(axis=1) for some in self._groups()] or [self.most], axis=1)
         # where there are few letters, a table is faster than a search
         self.table = None
         if len(self.letters) <= 200:
             self.table = np.zeros(len(self.letters) ** ORDER, np.int32)
             self.table[self.known[1:]] = np.arange(1, len(self.known))
 
+    def gram(self) -> np.ndarray:
+        """The normalised kernels of the landmarks with each other."""
+        out = np.zeros((len(self.landmarks), len(self.landmarks)))
+        for z in range(len(self.landmarks)):
+            out[:, z] = subsequence_kernel(self.codes, np.repeat(self.codes[z : z + 1], len(out), axis=0)) / (self.norms * self.norms[z])
+        return (out + out.T) / 2
+
+    def _groups(self) -> list[list[int]]:
+        gram, left, out = self.gram(), list(range(len(self.landmarks))), []
+        while left:
+            out.append(sorted(left, key=lambda z: -gram[left[0], z])[:NEIGHBOURS])
+            left = [z for z in left if z not in out[-1]]
+        return out
+
     def _keys(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Subsequences as numbers; -1 with a character that no landmark has."""
         letter = np.searchsorted(self.letters, codes)
@@ -204,12 +225,11 @@ class Kernels:
                 codes = _codes([words[i] for i in members], width)
                 places = self._places(codes, at)
                 some = np.flatnonzero(self.most[places] @ decayed >= FLOOR * self.least[width] * (1 - 1e-9))
+                if len(some):
+                    some = some[self._sums(places[some], decayed, self.most_near).max(axis=1) >= FLOOR * self.least[width] * (1 - 1e-9)]
                 if not len(some):
                     continue
-                kernel = np.zeros((len(some), len(self.landmarks)))
-                for row, x in enumerate(places[some]):
-                    there = np.flatnonzero(x)
-                    kernel[row] = decayed[there] @ self.rows[x[there]]
+                kernel = self._sums(places[some], decayed, self.rows)
                 near = kernel.max(axis=1) >= FLOOR * self.least[width] * (1 - 1e-9)
                 some, kernel = some[near], kernel[near]
                 if len(some):
@@ -220,6 +240,18 @@ class Kernels:
                         found[members[row]] = vector
         return found
 
+    @staticmethod
+    def _sums(places: np.ndarray, decayed: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """For each word the decayed sum of its subsequences' rows, in blocks of bounded memory."""
+        kernel = np.zeros((len(places), rows.shape[1]))
+        row, at = np.nonzero(places)
+        step = max(1, CELLS // max(1, rows.shape[1]))
+        for a in range(0, len(row), step):
+            own, x = row[a : a + step], at[a : a + step]
+            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            kernel[own[first]] += np.add.reduceat(rows[places[own, x]] * decayed[x, None], first)
+        return kernel
+
     def _of_long(self, word: str) -> np.ndarray | None:
         """The largest kernels over a long word's windows, each for the landmarks that it fits."""
         out = np.zeros(len(self.landmarks))
@@ -330,10 +362,7 @@ def train(texts: list[str | None], labels: list[int], landmarks: int = LANDMARKS
     closest = sorted((-v.max() * np.log1p(seen[0][w]), w) for w, v in zip(harmless, Kernels(toxic).of(harmless), strict=True) if v is not None and len(w) <= WINDOW)
     chosen = toxic + [w for _, w in closest[: max(landmarks - len(toxic), len(toxic) // 2)]]
     kernels = Kernels(chosen)
-    gram = np.zeros((len(chosen), len(chosen)))
-    for z in range(len(chosen)):
-        gram[:, z] = subsequence_kernel(kernels.codes, np.repeat(kernels.codes[z : z + 1], len(chosen), axis=0)) / (kernels.norms * kernels.norms[z])
-    value, vector = np.linalg.eigh((gram + gram.T) / 2)
+    value, vector = np.linalg.eigh(kernels.gram())
     whiten = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-2))) @ vector.T
 
     # each telling word with a character inserted, at every place
@@ -395,61 +424,86 @@ def _logistic(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from the labelled documents that are not held out; at most ``sample`` of each
-    label come to the driver. A document with differing labels counts as toxic."""
+    label come to the driver. A document with differing labels counts as toxic; of rows that
+    repeat an id the smallest text is learned from."""
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     # the smallest hashes of each label; a fixed number of rows, so a broadcast has a bound
     chosen = known.where("toxic = 1").orderBy(*order).limit(sample).union(known.where("toxic = 0").orderBy(*order).limit(sample))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").collect()
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"))
+    rows = found.orderBy("doc_id").collect()
     return train([r["text"] for r in rows], [int(r["toxic"]) for r in rows])
 
 
-class Margins(dict):
-    """What each word adds to the margin of a text without any word close to a landmark."""
-
-    def __init__(self, model: Model):
-        super().__init__()
-        self.kernels, self.weights = Kernels(model.landmarks), model.weights
-
-    def learn(self, words: set[str]) -> None:
-        if len(self) > KEPT_WORDS:
-            self.clear()
-        new = [w for w in words if w not in self]
-        self.update((w, 0.0 if v is None else float(v @ self.weights)) for w, v in zip(new, self.kernels.of(new), strict=True))
-
-
-_MARGINS: dict[bytes, Margins] = {}
+class Margins:
+    """What each word adds to the margin of a text without any word close to a landmark. Words
+    stand here as they are in texts, punctuation and all; those that add nothing are only known
+    as such. Half of what is kept goes when KEPT_BYTES is reached, the words seen longest ago."""
+
+    def __init__(self, model: Model, most: int = KEPT_BYTES):
+        self.kernels, self.weights, self.half = Kernels(model.landmarks), model.weights, most // 2
+        self.young: dict[str, float] = {}
+        self.old: dict[str, float] = {}
+        self.told: dict[str, float] = {}  # those of young that add something
+        self.held = 0
+
+    def of(self, words: set[str]) -> dict[str, float]:
+        """The margins of those words that have one above 0."""
+        new = words - self.young.keys()
+        found = {w: self.old[w] for w in new & self.old.keys()}
+        every = list(new - found.keys())
+        for at in range(0, len(every), BLOCK):
+            some = every[at : at + BLOCK]
+            plain = [w if w.isalnum() else w.translate(PUNCTUATION) for w in some]
+            each = sorted({w for w in plain if len(w) >= ORDER})
+            told = {w: m for w, v in zip(each, self.kernels.of(each), strict=True) if v is not None and (m := float(v @ self.weights)) > 0}
+            found.update((w, told.get(p, 0.0)) for w, p in zip(some, plain, strict=True))
+        out = {w: m for w, m in found.items() if m}
+        out.update((w, self.told[w]) for w in words & self.told.keys())
+        for w in [w for w in found if len(w) > KEPT_KEY]:
+            del found[w]
+        self.held += sum(map(len, found)) + (ENTRY_BYTES + 64) * len(found)
+        if self.held > self.half:
+            self.old, self.young, self.told, self.held = self.young, {}, {}, 0
+        self.young.update(found)
+        self.told.update((w, m) for w, m in found.items() if m)
+        return out
 
 
-def _kept_margins(model: Model) -> Margins:
-    """One store for each model and worker, kept from task to task."""
-    key = "\n".join(model.landmarks).encode() + model.weights.tobytes()
-    if key not in _MARGINS:
-        _MARGINS.clear()
-        _MARGINS[key] = Margins(model)
-    return _MARGINS[key]
+def words_of_text(text: str | None) -> list[str]:
+    """The words of all sentences, punctuation not yet left out; runs of single characters as in
+    ``words_in``."""
+    low = (text or "").lower()
+    words = low.split()
+    if SINGLES_HERE.search(low):
+        for s in sentences(low):
+            own = words_in(s)
+            words += own[len(s.translate(PUNCTUATION).split()) :]
+    return words
 
 
 def margins(texts: list[str | None], model: Model) -> np.ndarray:
     """For each document the margin of its most toxic word and what the second one adds to that
     of none; a word that stands twice is both."""
-    kept, out = _kept_margins(model), np.zeros((len(texts), 2))
-    for at in range(0, len(texts), 256):
-        cut = [list(map(words_in, sentences(t))) for t in texts[at : at + 256]]
-        every = [set(chain.from_iterable(document)) for document in cut]
-        kept.learn(set().union(*every))
+    key = ("margins", "\n".join(model.landmarks), model.weights.tobytes())
+    kept, out = of_worker(key, lambda: Margins(model)), np.zeros((len(texts), 2))
+    for at in range(0, len(texts), GROUP):
+        cut = list(map(words_of_text, texts[at : at + GROUP]))
+        every = list(map(set, cut))
+        # words below the margin of none change nothing
+        known = kept.of(set().union(*every))
         for i, words in enumerate(every):
-            # words below the margin of none change nothing
-            telling = {w for w in words if kept[w] > 0}
-            if telling:
-                best = sorted((kept[w] for w in chain.from_iterable(cut[i]) if w in telling), reverse=True)[:2]
+            if not words.isdisjoint(known):
+                best = sorted((known[w] for w in cut[i] if w in known), reverse=True)[:2]
                 out[at + i, : len(best)] = best
     out[:, 0] += model.bias
     return out
 
 
 def with_scores(docs: DataFrame, model: Model, text_col: str = "text", column: str = "score") -> DataFrame:
-    """The rows of ``docs`` with one more column, the score from 0 to 1."""
+    """The rows of ``docs`` with one more column, the score from 0 to 1; a column of that name is
+    replaced."""
+    docs = docs.drop(column)
     at = docs.columns.index(text_col)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

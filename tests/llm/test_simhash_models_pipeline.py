@@ -120,6 +120,33 @@ def test_toxicity_held_out(spark, tables):
     assert toxicity.with_scores(odd.limit(0), model).count() == 0
 
 
+def test_toxicity_odd_tables(spark, monkeypatch):
+    model = toxicity.train(["a b c"], [0])
+    clash = spark.createDataFrame([(1, "some text", "x", 2)], "doc_id long, text string, score string, other int")
+    assert [(r["doc_id"], r["other"], type(r["score"])) for r in toxicity.with_scores(clash, model).collect()] == [(1, 2, float)]
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: (texts, labels))
+    docs = spark.createDataFrame([(3, "b")] * 500 + [(3, "a"), (3, None), (4, "c"), (None, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(3, 0), (3, 1), (4, 0), (None, 1)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "held_out", lambda c: F.lit(False))
+    assert toxicity.fit(docs, labels) == (["a", "c"], [1, 0])
+
+
+def test_margins_do_not_depend_on_what_is_kept():
+    model = toxicity.train([f"the word {i}. a blockhead, nitwit {i}" for i in range(40)] + [f"the word {i} is x{i}" for i in range(40)], [1] * 40 + [0] * 40)
+    texts = ["a blockhead! and b l o c k h e a d. nit-wit", "n i t w i t", "i d. x\ny z w. a", "the head " + "y" * 300 + "nitwit", None, "", "a b\x1cc nitwit; nitwit"] * 2
+    plain = {}
+    for t in texts:
+        words = [w for s in toxicity.sentences(t) for w in toxicity.words_in(s)]
+        values = [max(0.0, float(v @ model.weights)) for v in toxicity.Kernels(model.landmarks).of(words) if v is not None]
+        plain[t] = (sorted(values, reverse=True) + [0.0, 0.0])[:2]
+    for most in (1, 1 << 20):
+        kept = toxicity.Margins(model, most)
+        for t in texts:
+            known = kept.of(set(toxicity.words_of_text(t)))
+            best = (sorted((known[w] for w in toxicity.words_of_text(t) if w in known), reverse=True) + [0.0, 0.0])[:2]
+            assert best == pytest.approx(plain[t]), t
+
+
 def test_toxicity_tolerates_gaps():
     random.seed(6)
     words = ["".join(random.choices(["ra", "mo", "tel", "sin", "gu", "vor", "pe", "lan"], k=random.randrange(1, 4))) for _ in range(300)]

@@ -1,5 +1,6 @@
 """Packing, Huffman files and WARC: against the libraries themselves, on odd rows."""
 
+import sys
 import zlib
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from arclog.llm import huffman, packing, warc
+from arclog.llm.common import ENTRY_BYTES, Kept, of_worker
 from arclog.llm.tokens import Encoder
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -44,6 +46,28 @@ def test_forgetting_changes_nothing():
         assert np.frombuffer(small.encode([text])[0], "<u4").tolist() == plain(text)
 
 
+def test_stores_are_bounded_by_bytes():
+    kept = Kept(lambda w: (w, len(w)), most=40_000)
+    for _ in range(3):
+        for i in range(2000):
+            assert kept[f"word{i}"] == (f"word{i}", len(f"word{i}"))
+            assert sum(sys.getsizeof(k) + sys.getsizeof(v) + ENTRY_BYTES for d in (kept, kept.old) for k, v in d.items()) <= 40_500
+    assert kept and kept.old
+    # a text without spaces is one piece and is never kept
+    encoder = Encoder(VOCABULARY)
+    long = "a" * 100_000
+    for _ in range(3):
+        assert np.frombuffer(encoder.encode([long + " " + long])[0], "<u4").tolist() == plain(long + " " + long)
+    assert not encoder.first and not encoder.rest and not encoder.first.held
+
+
+def test_a_worker_keeps_one_thing():
+    one = of_worker("one", lambda: Kept(len))
+    assert of_worker("one", lambda: None) is one
+    of_worker("two", dict)
+    assert of_worker("one", lambda: Kept(len)) is not one
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     rows = [(i, t, "clash") for i, t in enumerate(ODD)] + [(3, "again", "x"), (None, None, "x"), (3, "a", "x"), (99, "word " * 9000, "x")]
