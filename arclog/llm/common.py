@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 import uuid
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterator
 from typing import Any
 
 import pyarrow as pa
@@ -73,6 +73,12 @@ def of_worker(key: Hashable, make: Callable[[], Any]) -> Any:
     return _WORKER[key]
 
 
+def parts_of(column: pa.Array, rows: int = 256) -> Iterator[list]:
+    """The values of a column, so many at once: a batch is never a second time in memory."""
+    for at in range(0, len(column), rows):
+        yield column.slice(at, rows).to_pylist()
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row, however often ``body`` uses it.
 

@@ -14,11 +14,13 @@ and follow the order of the input's partitions; they are the same when a task is
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arclog.llm.common import parts_of
 from arclog.llm.tokens import encoded
 
 LONGEST = 2048
@@ -45,7 +47,7 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
         rows: list[list] = [[], [], [], [], []]
         held = 0
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = chain.from_iterable(parts_of(batch.column(1)))
             for doc, ids in zip(batch.column(0).to_pylist(), encoded(texts, vocabulary), strict=True):
                 ids += end
                 n, start = len(ids) // 4, 0

@@ -3,15 +3,21 @@
 A fingerprint has 8 bytes. Two fingerprints that differ in at most 4 bits differ in at most 4
 bytes, so they share at least 4 of their 8 positional bytes: that is the guaranteed minimum
 of the count filter. Lists of single positional bytes hold 1/256 of all fingerprints each, and
-tallying them grows with the square of the input; so the index keys are the 70 conjunctions
-of 4 positional bytes. A pair that shares m positional bytes meets under C(m, 4) keys, hence
-under one or more keys exactly if its tally reaches 4: the filter is the key itself, and only
-pairs that pass it are verified bit by bit.
+tallying them grows with the square of the input; so a list holds the fingerprints that agree
+in three byte positions. 20 choices of three are enough for any four positions to hold one of
+them (``_triples``), so a pair whose tally reaches 4 meets in a list. There the shared
+positional bytes of its pairs are tallied, pairs below the minimum are dropped, and the
+others are verified bit by bit.
 
 Exact copies share a fingerprint and enter the index once. Within a list no pairs are
 emitted: the members that are linked, directly or through each other, are joined by a search
-that drops what it has reached, and each emits one edge to the smallest of its group. The
-edges' connected components are found by alternating stars over checkpointed tables.
+that drops what it has reached, and each emits one edge to the smallest of its group. In a
+list of more than ``LONG`` members that search ends after ``ROOTS`` groups; members that no
+group has reached are dealt anew by the same rule: the bits that their list does not fix are
+cut into 8 parts, of which they too share 4, and 20 lists for three parts take them. After a
+few such turns so many bits are fixed that a list is short, so no task compares a long list
+of strangers. The edges' connected components are found by alternating stars over
+checkpointed tables.
 
 Defined cases: a text without words (null, empty, blank) has fingerprint zero and links like
 any other. A row without id has a fingerprint but no component and links with nothing.
@@ -21,6 +27,7 @@ Repeated rows each get a row. Extra columns are ignored. An empty table gives no
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -35,6 +42,9 @@ from arclog.llm.components import connected_components
 SEED = 42
 SHINGLE = 4
 BYTES = 8
+#: Members from which on a list is long, and groups that are sought in a long one.
+LONG = 4096
+ROOTS = 64
 #: Shingles whose bits are counted at once; bounds the memory a long text takes.
 CHUNK = 1 << 15
 
@@ -76,87 +86,146 @@ def with_fingerprints(docs: DataFrame, text_col: str = "text", column: str = "fp
     return docs.mapInArrow(add, f"{fields}, `{column}` long")
 
 
-def _masks(shared: int) -> list[int]:
-    """All choices of ``shared`` byte positions as 64-bit masks, signed."""
-    chosen = [sum(0xFF << (8 * p) for p in some) for some in combinations(range(BYTES), shared)]
-    return [m - (1 << 64) if m >> 63 else m for m in chosen]
+def _triples() -> list[tuple[int, int, int]]:
+    """20 triples of the numbers 0 to 7, of which any four numbers hold one. The numbers form
+    the groups 012, 345 and 67; a triple is a whole group of three, or two of one group and one
+    of the next. Four numbers have three in one group, or two in a group and one in the next."""
+    groups = ((0, 1, 2), (3, 4, 5), (6, 7))
+    found = [g for g in groups if len(g) == 3]
+    for g, after in zip(groups, groups[1:] + groups[:1], strict=True):
+        found += [(*two, one) for two in combinations(g, 2) for one in after]
+    return found
 
 
-def linked_groups(prints: np.ndarray, most: int) -> np.ndarray:
-    """For each of some distinct fingerprints the index of its group's first member.
+@lru_cache(maxsize=1 << 12)
+def _masks(fixed: int, most: int) -> list[int]:
+    """The bits that lists fix beyond ``fixed``: the others are cut into 8 parts, and any two
+    fingerprints that differ in ``most`` bits agree in one choice of parts at least."""
+    free = [bit for bit in range(64) if not fixed >> bit & 1]
+    cuts = [len(free) * i // BYTES for i in range(BYTES + 1)]
+    parts = [sum(1 << bit for bit in free[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    chosen = _triples() if BYTES - most == 4 else combinations(range(BYTES), BYTES - most)
+    return [fixed | sum(parts[i] for i in some) for some in chosen]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _near(left: np.ndarray, one: np.ndarray, most: int) -> np.ndarray:
+    """Which fingerprints differ from others in at most ``most`` bits: the tally of shared
+    positional bytes first, then the bits of those that reach the minimum."""
+    differ = left ^ one
+    shared = (differ.view(np.uint8).reshape(-1, BYTES) == 0).sum(axis=1)
+    near = shared >= BYTES - most
+    near[near] = np.bitwise_count(differ[near]) <= most
+    return near
+
+
+def linked_groups(prints: np.ndarray, most: int, roots: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each of some distinct fingerprints the index of its group's first member, and the
+    indices that no group has reached after ``roots`` groups: they link among themselves only.
 
     A member that has been reached is never compared as a target again, so a dense group
     costs little more than its size; strangers cost one vectorised comparison each.
     """
     group = np.arange(len(prints))
     left = np.arange(len(prints))
-    while len(left):
+    while len(left) and roots != 0:
         root, left = left[0], left[1:]
         frontier = [root]
         while frontier and len(left):
-            near = np.bitwise_count(prints[left] ^ prints[frontier.pop()]) <= most
+            near = _near(prints[left], prints[frontier.pop()], most)
             found = left[near]
             if len(found):
                 group[found] = root
                 frontier.extend(found.tolist())
                 left = left[~near]
-    return group
+        roots = None if roots is None else roots - 1
+    return group, left
+
+
+EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("fixed", pa.int64())])
 
 
 def _edges(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (mask, key) in; edges between the members of linked groups out."""
+    """Rows (fixed, key, fp, node) sorted by list in. Out: edges (a, b) between the members of
+    linked groups, and of long lists the members to be dealt anew (fingerprint, node, fixed)."""
 
-    def of(m: np.ndarray, key: np.ndarray, prints: np.ndarray, node: np.ndarray) -> tuple[list, list]:
-        cuts = np.flatnonzero((m[1:] != m[:-1]) | (key[1:] != key[:-1])) + 1
-        starts, ends = np.r_[0, cuts], np.r_[cuts, len(m)]
+    def of(fixed: np.ndarray, key: np.ndarray, prints: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        cuts = np.flatnonzero((fixed[1:] != fixed[:-1]) | (key[1:] != key[:-1])) + 1
+        starts, ends = np.r_[0, cuts], np.r_[cuts, len(key)]
         size = ends - starts
         pairs = starts[size == 2]
-        near = pairs[np.bitwise_count(prints[pairs] ^ prints[pairs + 1]) <= most]
-        left, right = [node[near]], [node[near + 1]]
+        pairs = pairs[_near(prints[pairs], prints[pairs + 1], most)]
+        left, right, again = [node[pairs]], [node[pairs + 1]], [np.zeros(0, np.int64)]
         for a, b in zip(starts[size > 2].tolist(), ends[size > 2].tolist(), strict=True):
-            group = linked_groups(prints[a:b], most)
+            group, rest = linked_groups(prints[a:b], most, ROOTS if b - a > LONG else None)
             ids = node[a:b]
             linked = group != np.arange(b - a)
             left.append(ids[group[linked]])
             right.append(ids[linked])
-        return left, right
+            again.append(a + rest)
+        a, b, rest = np.concatenate(left), np.concatenate(right), np.concatenate(again)
+        unique = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.r_[unique[0], prints[rest].view(np.int64)]), pa.array(np.r_[unique[1], node[rest]]), pa.array(np.r_[np.zeros(unique.shape[1], np.int64), fixed[rest]])], schema=EDGES)
 
-    held: list[np.ndarray] | None = None
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    held: list[list[np.ndarray]] = []
 
-    def batch_of(parts: list[np.ndarray]) -> pa.RecordBatch:
-        left, right = of(parts[0], parts[1], parts[2].view(np.uint64), parts[3])
-        a, b = np.concatenate(left), np.concatenate(right)
-        unique = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(unique[0]), pa.array(unique[1])], schema=schema)
+    def lists(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+        fixed, key, prints, node = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return of(fixed, key, prints.view(np.uint64), node)
 
     for batch in batches:
         now = [np.asarray(column) for column in batch.columns]
         if not len(now[0]):
             continue
-        if held is not None:
-            now = [np.concatenate(x) for x in zip(held, now, strict=True)]
         # the last list may go on in the next batch
         same = (now[0] == now[0][-1]) & (now[1] == now[1][-1])
-        cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
-        held = [x[cut:] for x in now]
-        if cut:
-            yield batch_of([x[:cut] for x in now])
-    if held is not None:
-        yield batch_of(held)
+        cut = 0 if same.all() else len(same) - int(np.argmin(same[::-1]))
+        new = held and (now[0][0] != held[-1][0][-1] or now[1][0] != held[-1][1][-1])
+        if held and (cut or new):
+            yield lists([*held, [x[:cut] for x in now]])
+            held = []
+        elif cut:
+            yield lists([[x[:cut] for x in now]])
+        held.append([x[cut:] for x in now])
+    if held:
+        yield lists(held)
+
+
+def _dealt(postings: DataFrame, most: int) -> DataFrame:
+    parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = postings.repartition(parts, "fixed", "key").sortWithinPartitions("fixed", "key", "fp")
+    return checkpointed(ordered.mapInArrow(lambda batches: _edges(batches, most), "a long, b long, fixed long").distinct())
+
+
+def _postings(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows (fp, node, fixed) in, their postings under the next masks out."""
+    for batch in batches:
+        prints, node, fixed = (np.asarray(column) for column in batch.columns)
+        for at in np.unique(fixed).tolist():
+            here = fixed == at
+            for mask in map(_signed, _masks(at % (1 << 64), most)):
+                own = prints[here]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), mask)), pa.array(own & mask), pa.array(own), pa.array(node[here])], names=["fixed", "key", "fp", "node"])
 
 
 def fingerprint_links(classes: DataFrame, most: int = 4) -> DataFrame:
     """Edges (a, b) that connect every two nodes whose fingerprints differ in at most ``most``
     bits, directly or through others. ``classes``: (node, fp), each fingerprint once."""
-    masks = F.array(*[F.lit(m).cast("long") for m in _masks(BYTES - most)])
-    postings = (
-        classes.select(F.col("fp"), F.col("node"), F.posexplode(masks).alias("m", "_mask"))
-        .select(F.col("m").cast("short").alias("m"), F.col("fp").bitwiseAND(F.col("_mask")).alias("key"), "fp", "node")
-    )
-    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = postings.repartition(parts, "m", "key").sortWithinPartitions("m", "key", "fp")
-    return ordered.mapInArrow(lambda batches: _edges(batches, most), "a long, b long").distinct()
+    masks = F.array(*[F.lit(_signed(m)).cast("long") for m in _masks(0, most)])
+    found = _dealt(
+        classes.select(F.col("fp"), F.col("node"), F.explode(masks).alias("fixed"))
+        .select("fixed", F.col("fp").bitwiseAND(F.col("fixed")).alias("key"), "fp", "node"), most)
+    edges = found.where("fixed = 0")
+    while not (again := found.where("fixed <> 0")).isEmpty():
+        postings = again.select(F.col("a").alias("fp"), F.col("b").alias("node"), "fixed").mapInArrow(
+            lambda batches: _postings(batches, most), "fixed long, key long, fp long, node long")
+        found = _dealt(postings, most)
+        edges = edges.union(found.where("fixed = 0"))
+    return edges.select("a", "b")
 
 
 def components_of(prints: DataFrame, id_col: str = "doc_id", most: int = 4) -> DataFrame:

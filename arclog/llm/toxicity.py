@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arclog.llm.common import ENTRY_BYTES, KEPT_BYTES, KEPT_KEY, held_out, of_worker
+from arclog.llm.common import ENTRY_BYTES, KEPT_BYTES, KEPT_KEY, held_out, of_worker, parts_of
 
 ORDER = 3
 DECAY = 0.9
@@ -68,11 +68,11 @@ SAMPLE = 1500
 #: Words of more characters are compared in windows, whose length fits the landmark.
 WINDOW = 24
 #: Subsequences that are looked up together.
-TRIPLES = 500_000
+TRIPLES = 100_000
 #: Landmarks of a group, for which one bound is computed.
 NEIGHBOURS = 8
 #: Cells of a block of kernels that are summed up together.
-CELLS = 1 << 21
+CELLS = 1 << 18
 
 SENTENCE = re.compile(r"[.!?\n]+(?:\s+|$)")
 PUNCTUATION = dict.fromkeys(map(ord, "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"))
@@ -508,8 +508,8 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text", column: s
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(margins(texts, model)))], names=[*batch.schema.names, column])
+            found = np.concatenate([np.zeros((0, 2)), *(margins(texts, model) for texts in parts_of(batch.column(at), GROUP))])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(found))], names=[*batch.schema.names, column])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(add, f"{fields}, `{column}` double")

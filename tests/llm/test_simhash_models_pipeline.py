@@ -1,5 +1,6 @@
 """SimHash and its components against brute force, the classifiers on held-out rows, the pipeline."""
 
+import itertools
 import random
 
 import numpy as np
@@ -83,6 +84,38 @@ def test_near_duplicates(spark, texts):
     assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.keep_one(df.limit(0)).count() == 0
 
 
+def test_any_four_parts_hold_a_triple():
+    triples = simhash._triples()
+    assert len(triples) == 20 and all(any(set(t) <= set(four) for t in triples) for four in itertools.combinations(range(8), 4))
+    rng = np.random.default_rng(4)
+    for fixed in (0, 0xFFFFFF, (1 << 40) - 1, 0xFFFF0000FFFF0F0F):
+        for _ in range(200):
+            differ = sum(1 << int(b) for b in rng.choice([b for b in range(64) if not fixed >> b & 1], 4, replace=False))
+            assert any(not m & differ and m & fixed == fixed for m in simhash._masks(fixed, 4))
+
+
+def test_pairs_below_the_tally_are_dropped():
+    one = np.array([0x0101010101000000, 0x0101010100000000, 0x0301010100000000, 0], np.uint64)
+    assert simhash._near(one, np.uint64(0), 4).tolist() == [False, True, False, True]
+    assert simhash._near(one, np.uint64(0), 5).tolist() == [True, True, True, True]
+
+
+def test_hot_lists(spark):
+    """A list of strangers that agree in 24 bits, too long for one task, and a dense group among them."""
+    rng = np.random.default_rng(2)
+    strangers = [int(x) << 24 | 0xABCDEF for x in rng.integers(0, 1 << 40, simhash.LONG, dtype=np.uint64)]
+    dense = [strangers[0] ^ sum(1 << int(b) for b in rng.choice(40, 2, replace=False) + 24) for _ in range(300)]
+    prints = list(dict.fromkeys(strangers + dense))
+    df = spark.createDataFrame([(i, p - (1 << 64) if p >> 63 else p) for i, p in enumerate(prints)], "id long, fp long")
+    found = {r["fp"] % (1 << 64): r["component"] for r in simhash.components_of(df, "id").collect()}
+    assert [found[p] for p in prints] == plain_components(list(range(len(prints))), prints)
+    some = np.array(prints, np.uint64)
+    group, rest = simhash.linked_groups(some, 4, 2)
+    whole, none = simhash.linked_groups(some, 4)
+    assert len(rest) > simhash.LONG - 5 and not len(none) and not set(rest.tolist()) & set(np.flatnonzero(group != np.arange(len(some))).tolist())
+    assert all(whole[i] == i or whole[i] in rest for i in rest.tolist())
+
+
 def test_dense_and_random_prints(spark):
     rng = np.random.default_rng(1)
     centres = rng.integers(0, 1 << 63, 5, dtype=np.uint64)
