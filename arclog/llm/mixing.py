@@ -8,16 +8,20 @@ the ancestors' siblings, since a subtree's capacity is what its parent sees.
 
 A leaf's budget buys whole epochs and a prefix of one more. Each epoch orders the leaf's
 documents by a hash of seed, epoch and id; the prefix ends inside one document at most,
-which is cut after so many words. The cut is found without sorting a leaf: tokens are summed by
-leaf and leading hash digits, and only the one bucket that holds the cut is ordered. What is
-left for each leaf is a hash to compare with, so documents are chosen where they are read.
+which is cut after so many words. Rows with one hash are ordered by their number of words and
+then by a number of the row, so of rows that repeat an id too only one is cut. The cut is found
+without sorting a leaf: tokens are summed by leaf and leading hash digits, in the one bucket
+that holds the cut by hash and words, in the one group there by the partition that a row
+stands in, and only in one of these are rows ordered. What is left for each leaf is a row to
+compare with, so documents are chosen where they are read.
 
 Everything is DataFrame functions. Budgets are whole tokens and add up exactly.
 
 Defined cases: null and empty names are one node; a token is a word; a text without words is
-never chosen; weights of 0 exclude a subtree; a document without id is ordered by its text,
-and rows that repeat an id are chosen alike, at the cut each cut to the same length. An empty
-table gives no rows. Extra columns are ignored by ``chosen_epochs`` and kept by ``mixed``.
+never chosen; weights of 0 exclude a subtree; a document without id is ordered by its text;
+rows that repeat an id, or a text without id, follow each other, so budgets hold with them
+too. An empty table gives no rows. Extra columns are ignored by ``chosen_epochs`` and kept by
+``mixed``.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from arclog.llm.common import checkpointed, words_of
+from arclog.llm.common import checkpointed, shared_folder, words_of
 
 LEVELS = ("domain", "lang", "source")
 #: Leading hex digits of the hash: a leaf is summed in 16**DIGITS buckets.
@@ -107,11 +111,12 @@ def budgets(leaves: DataFrame, weights: Mapping[tuple[str, ...], int], ratio: tu
 
 
 def _named(docs: DataFrame, domain: Column, id_col: str, text_col: str) -> list[Column]:
-    """The columns that planning needs: id, names, tokens and what the hash is made of."""
+    """The columns that planning needs: names, tokens, what the hash is made of, and a number of
+    the row, whose upper bits are those of its partition."""
     text = F.col(f"`{text_col}`")
     key = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
     name = lambda c: F.coalesce(F.col(c), F.lit(""))
-    return [F.coalesce(domain, F.lit("")).alias("domain"), name("lang").alias("lang"), name("source").alias("source"), key.alias("_key"), F.size(words_of(text)).cast("long").alias("n_tokens")]
+    return [F.coalesce(domain, F.lit("")).alias("domain"), name("lang").alias("lang"), name("source").alias("source"), key.alias("_key"), F.size(words_of(text)).cast("long").alias("n_tokens"), F.monotonically_increasing_id().alias("_row")]
 
 
 def _hash(seed: int) -> Column:
@@ -123,8 +128,9 @@ def _joined(rows: DataFrame, plan: DataFrame, small: bool) -> DataFrame:
 
 
 def planned(rows: DataFrame, weights: Mapping[tuple[str, ...], int], ratio: tuple[int, int], epochs: int, seed: int) -> tuple[DataFrame, bool]:
-    """The plan: for every leaf ``full`` epochs, then documents up to the hash ``cut``, of the
-    one at the cut ``cut_tokens`` words; and whether it is small enough to send to each task."""
+    """The plan: for every leaf ``full`` epochs, then rows before ``cut`` (hash, words, row
+    number), of the row at the cut ``cut_tokens`` words; and whether it is small enough to send
+    to each task."""
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
     shares = checkpointed(budgets(leaves, weights, ratio, epochs).where("tokens > 0 AND budget > 0").select(
         *LEVELS, "tokens", "budget", F.expr("budget div tokens").alias("full"), F.expr("budget % tokens").alias("rest")))
@@ -134,18 +140,29 @@ def planned(rows: DataFrame, weights: Mapping[tuple[str, ...], int], ratio: tupl
     over = Window.partitionBy(*LEVELS).orderBy("bucket")
     ends = sums.withColumn("upto", F.sum("n").over(over.rowsBetween(Window.unboundedPreceding, 0)))
     border = ends.where("upto - n < rest AND rest <= upto").select(*LEVELS, "bucket", (F.col("upto") - F.col("n")).alias("base"))
-    inside = hashed.join(F.broadcast(border) if small else border, [*LEVELS, "bucket"]).groupBy(*LEVELS, "bucket", "h", "base", "rest").agg(F.sum("n_tokens").alias("n"))
-    order = Window.partitionBy(*LEVELS, "bucket").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
-    cuts = inside.withColumn("upto", F.col("base") + F.sum("n").over(order)).where("upto - n < rest AND rest <= upto").select(
-        *LEVELS, F.col("h").alias("cut"), (F.col("rest") - F.col("upto") + F.col("n")).alias("cut_tokens"))
+    here = [*LEVELS, "h", "n_tokens"]
+    inside = hashed.join(F.broadcast(border) if small else border, [*LEVELS, "bucket"])
+    groups = inside.groupBy(*here).agg(F.sum("n_tokens").alias("n"), F.first("base").alias("base"), F.first("rest").alias("rest"))
+    order = Window.partitionBy(*LEVELS).orderBy("h", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    # the cut row is the one with ``place`` rows of its group before it
+    at_cut = groups.withColumn("upto", F.col("base") + F.sum("n").over(order)).where("upto - n < rest AND rest <= upto").select(
+        *here, F.expr("(rest - upto + n - 1) div n_tokens").alias("place"), F.expr("(rest - upto + n - 1) % n_tokens + 1").alias("cut_tokens"))
+    alike = inside.withColumn("part", F.shiftright("_row", 33)).join(F.broadcast(at_cut) if small else at_cut, here)
+    parts = alike.groupBy(*here, "part").agg(F.count(F.lit(1)).alias("n"), F.first("place").alias("place"))
+    before = Window.partitionBy(*LEVELS).orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    part = parts.withColumn("upto", F.sum("n").over(before)).where("upto - n <= place AND place < upto").select(
+        *LEVELS, "part", (F.col("place") - F.col("upto") + F.col("n") + 1).alias("nth"))
+    rank = F.row_number().over(Window.partitionBy(*LEVELS, "part").orderBy("_row"))
+    cuts = alike.join(F.broadcast(part) if small else part, [*LEVELS, "part"]).withColumn("rank", rank).where("rank = nth").select(
+        *LEVELS, F.struct("h", "n_tokens", "_row").alias("cut"), "cut_tokens")
     plan = shares.join(cuts, list(LEVELS), "left").select(*LEVELS, "budget", "full", "cut", "cut_tokens")
     return checkpointed(plan), small
 
 
 def _part(seed: int) -> Column:
-    """Words that the last, partial epoch takes of a document."""
-    h = _hash(seed)
-    taken = F.when(h < F.col("cut"), F.col("n_tokens")).when(h == F.col("cut"), F.least("n_tokens", "cut_tokens")).otherwise(F.lit(0))
+    """Words that the last, partial epoch takes of a row."""
+    own = F.struct(_hash(seed).alias("h"), F.col("n_tokens").alias("n_tokens"), F.col("_row").alias("_row"))
+    taken = F.when(own < F.col("cut"), F.col("n_tokens")).when(own == F.col("cut"), F.col("cut_tokens")).otherwise(F.lit(0))
     return F.coalesce(taken, F.lit(0)).cast("long")
 
 
@@ -174,12 +191,13 @@ def prefix(text: Column, words: Column) -> Column:
 def mixed(docs: DataFrame, weights: Mapping[tuple[str, ...], int], ratio: tuple[int, int] = (1, 2), epochs: int = 4, seed: int = 17,
           domain: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The chosen rows of ``docs``, once for each epoch that takes them, texts at a cut shortened.
-    Texts are never shuffled while the plan is small enough to send to each task."""
+    The rows are written once to the shared folder, where their numbers do not change; texts are
+    never shuffled while the plan is small enough to send to each task."""
     domain = domain_of(F.col("source")) if domain is None else domain
-    rows = checkpointed(docs.select(*_named(docs, domain, id_col, text_col)))
-    plan, small = planned(rows, weights, ratio, epochs, seed)
-    names = _named(docs, domain, id_col, text_col)
-    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *names)
+    spark, path = docs.sparkSession, shared_folder(docs.sparkSession, "mixing")
+    docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *_named(docs, domain, id_col, text_col)).write.parquet(path)
+    wide = spark.read.parquet(path)
+    plan, small = planned(wide.drop("_doc"), weights, ratio, epochs, seed)
     found = _joined(wide.where("n_tokens > 0"), plan, small).withColumn("_part", _part(seed))
     times = F.col("full") + F.when(F.col("_part") > 0, 1).otherwise(0)
     each = found.where(times > 0).withColumn("_epoch", F.explode(F.sequence(F.lit(1).cast("long"), times)))

@@ -108,7 +108,7 @@ _CHILDREN = """
 OP1 = rf"""
 WITH t AS (
   SELECT doc_id, ['web', 'books', 'forum'][(('0x' || substr(md5(coalesce(source, '')), 1, 1))::BIGINT % 3) + 1] AS domain,
-    coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) AS key,
     len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS n_tokens
   FROM documents
 ), leaves AS (
@@ -122,10 +122,10 @@ WITH t AS (
 }, p AS (
   SELECT domain, lang, source, budget, budget // tokens AS full_, budget % tokens AS rest FROM source_dealt WHERE tokens > 0 AND budget > 0
 ), h AS (
-  SELECT t.*, budget, full_, rest, md5('17:' || (full_ + 1)::VARCHAR || ':' || doc_id::VARCHAR) AS h
+  SELECT t.*, budget, full_, rest, md5('17:' || (full_ + 1)::VARCHAR || ':' || key) AS h
   FROM t JOIN p USING (domain, lang, source) WHERE n_tokens > 0
 ), c AS (
-  SELECT *, greatest(0, least(n_tokens, rest - (sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY h, doc_id) - n_tokens))) AS part FROM h
+  SELECT *, greatest(0, least(n_tokens, rest - (sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY h, n_tokens ROWS UNBOUNDED PRECEDING) - n_tokens))) AS part FROM h
 ), e AS (
   SELECT *, unnest(range(1, (full_ + CASE WHEN part > 0 THEN 1 ELSE 0 END + 1)::BIGINT)) AS epoch FROM c
 )

@@ -3,10 +3,11 @@
 import hashlib
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from arclog.llm import chat, mixing, quality_rules
+from arclog.llm import chat, mixing, quality_rules, sql
 
 TEXTS = [
     None, "", " \t\n", "a", "a b c", "a b c a b c", "x x x x", "a b c d a b c", "x x x x x y z", "one\none\n\n \none", "the # $ % & | < > *",
@@ -137,3 +138,31 @@ def test_epochs_and_cuts(spark):
 def test_prefix_keeps_the_text(spark):
     df = spark.createDataFrame([("  a\tb\n\nc d ", 3)], "t string, n long")
     assert df.select(mixing.prefix(F.col("t"), F.col("n"))).first()[0] == "  a\tb\n\nc"
+
+
+def test_budgets_hold_with_repeated_rows(spark):
+    """Rows that repeat ids, or texts without id: budgets are met to the word, and the SQL agrees."""
+    random.seed(9)
+    text = lambda n: " ".join(["w"] * n)
+    rows = [(7, text(100), "en", "a", 0)] * 50 + [(8, text(random.randrange(1, 40)), "en", "b", 0) for _ in range(60)]
+    rows += [(None, text(30), "fr", "c", 0)] * 200 + [(i, text(random.randrange(9)), random.choice(["de", None]), "d", 0) for i in range(100, 160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").repartition(5)
+    for ratio, epochs in (((1, 2), 4), ((4, 5), 1), ((2, 1), 3), ((1, 40), 1)):
+        found = mixing.chosen_epochs(df, {}, ratio, epochs).collect()
+        spent = {}
+        for r in found:
+            leaf = (r["domain"], r["lang"], r["source"])
+            taken, _ = spent.get(leaf, (0, 0))
+            spent[leaf] = (taken + r["take_tokens"], r["leaf_budget"])
+            assert 0 < r["take_tokens"] <= r["n_tokens"]
+        assert all(taken == budget for taken, budget in spent.values())
+        words = mixing.mixed(df, {}, ratio, epochs).select(F.sum(F.size(F.split("text", " ")))).first()[0]
+        assert words == sum(taken for taken, _ in spent.values())
+    df.createOrReplaceTempView("repeated")
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    names = ["doc_id", "domain", "lang", "source", "epoch", "n_tokens", "take_tokens", "leaf_budget"]
+    weights = {("web",): 5, ("books",): 3, ("forum",): 2, ("*", "en"): 6, ("*", "fr"): 4, ("*", "de"): 3, ("*", "es"): 3}
+    plain = lambda rows: sorted(str(tuple(None if x is None or x != x else int(x) if isinstance(x, float) else x for x in r)) for r in rows)
+    want = con.sql(f"SELECT {', '.join(names)} FROM ({sql.OP1})").fetchall()
+    assert plain(tuple(r[c] for c in names) for r in mixing.chosen_epochs(df, weights).collect()) == plain(want)
