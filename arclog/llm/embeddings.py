@@ -4,16 +4,18 @@ Vectors are normalised in double precision. A coarse quantiser deals them into i
 lists; the residual to the list's centre is coded in subspaces, and each vector keeps the
 length of what its code leaves out. Two unit vectors of cosine c lie ``sqrt(2 - 2c)`` = r apart.
 
-Nothing within r can be missed:
-
 * Probes. If y lies in the cell of centre b and x in that of a, the plane between both cells
-  separates them, so ``(|x-b|^2 - |x-a|^2) / (2 |a-b|) <= |x-y|``. x probes every list for
-  which the left side is at most r, and whose nearest and farthest member leave room for r.
+  separates them, so ``(|x-b|^2 - |x-a|^2) / (2 |a-b|) <= |x-y|`` along one direction. Of a
+  difference of length r the share along a given direction has the spread ``r / sqrt(d)`` in d
+  dimensions, so x probes every list for which the left side is at most ``SPREADS`` spreads (r
+  at most), and whose nearest and farthest member leave room for r. With ``exact`` the limit is
+  r itself, and no link can be missed whatever the directions; then most lists are probed.
 * Codes. ``|x - y|`` is at least the table-lookup distance of x to y's code less y's left-out
-  length; pairs above r by that bound are dropped, all others are reranked.
+  length; pairs above r by that bound are dropped, all others are reranked. That misses none.
 
 Rerank is the cosine in double precision. Each unordered pair is examined once: x probes its
-own list and those of higher number.
+own list and those of higher number. A member travels to its list once, with its code and its
+vector for the rerank; a query travels with its vector alone, which the tables are made of.
 
 Equal vectors are one class with a count before anything is compared. Links are counted and
 joined within the task that finds them; what leaves it is a count for each vector and the
@@ -22,9 +24,10 @@ edges of a spanning forest, so groups of copies never become pairs. Lists longer
 
 The quantisers are fitted on the ``SAMPLE`` classes with the smallest hashes; every vector is
 indexed. The number of lists grows with the square root of the vectors, up to ``MOST_LISTS``.
+Vectors of different lengths never link; each length has quantisers and a pass of its own.
 
-Defined cases: vectors that are null, empty, zero, of another length than the most frequent
-one, or with null or non-finite components link with nothing and are kept. Rows without id
+Defined cases: vectors that are null, empty or zero, or with null or non-finite components link
+with nothing and are kept. Rows without id
 or with repeated ids each have a row and count as other vectors; a component is named after
 its smallest id. Extra columns are ignored. An empty table gives no rows.
 """
@@ -33,6 +36,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +51,8 @@ MOST_LISTS = 4096
 SUBSPACES = 8
 CODES = 64
 BLOCK = 8192
+#: Spreads of a random direction that probes allow for.
+SPREADS = 3.0
 #: Slack for sums in single precision; only more pairs are reranked by it.
 SLACK = 1e-3
 
@@ -109,9 +115,6 @@ def _classes(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFram
         rows, kind = rows.withColumn("v", v.cast("array<double>")), "double"
     # -0.0 and 0.0 are the same number
     rows = rows.withColumn("v", F.when(F.coalesce(usable, F.lit(False)), F.transform(v, lambda x: F.when(x == 0, F.lit(0.0).cast(kind)).otherwise(x))))
-    sizes = rows.where("v IS NOT NULL").groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
-    size = sizes[0]["size"] if sizes else 0
-    rows = rows.withColumn("v", F.when(F.size("v") == size, F.col("v")))
     # only ids matter for classes; the key is the vector itself, hashed twice
     key = F.when(F.col("v").isNotNull(), F.sha2(F.array_join(F.transform("v", lambda x: x.cast("string")), ",").cast("binary"), 256))
     rows = rows.withColumn("key", key)
@@ -233,12 +236,19 @@ def _search(batches: Iterator[pa.RecordBatch], model: Quantiser, cosine: float)
     yield found.batch()
 
 
-def links(classes: DataFrame, cosine: float) -> DataFrame:
+def links(classes: DataFrame, cosine: float, exact: bool = False) -> DataFrame:
     """(node, root, links) partial results: add ``links`` up by node; (node, root) are edges."""
+    sizes = classes.groupBy(F.size("v").alias("size")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy("size").collect()
+    none = classes.sparkSession.createDataFrame([], "node long, root long, links long")
+    return reduce(DataFrame.union, [_links(classes.where(F.size("v") == x["size"]), x["n"], cosine, exact) for x in sizes], none)
+
+
+def _links(classes: DataFrame, n: int, cosine: float, exact: bool) -> DataFrame:
+    """For ``n`` classes whose vectors have one length."""
     spark = classes.sparkSession
-    n = classes.count()
     sample = classes.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
-    model = fit(_units(sample), max(1, min(MOST_LISTS, int(np.sqrt(n)))))
+    model = fit(_units(sample), max(1, min(MOST_LISTS, int(2 * np.sqrt(n)))))
+    share = 1.0 if exact else min(1.0, SPREADS / np.sqrt(model.centres.shape[1]))
     r = float(np.sqrt(2 - 2 * cosine)) + SLACK
     vector = classes.schema["v"].dataType.simpleString()
     kept = f"list int, radius double, v {vector}, codes binary, left double, node long, n long"
@@ -272,7 +282,7 @@ def links(classes: DataFrame, cosine: float) -> DataFrame:
                 d = _nearest(_units(batch.column("v")), model.centres)[1]
                 gap = d - d[np.arange(len(own)), own][:, None]
                 distance = np.sqrt(d)
-                reach = (gap <= 2 * r * between[own] + SLACK) & (distance - r <= high[None]) & (distance + r >= low[None]) & (size[None] > 0)
+                reach = (gap <= 2 * share * r * between[own] + SLACK) & (distance - r <= high[None]) & (distance + r >= low[None]) & (size[None] > 0)
                 reach[np.arange(len(own)), own] = True
                 reach &= np.arange(lists)[None] >= own[:, None]
                 row, to = np.nonzero(reach)
@@ -294,13 +304,13 @@ def links(classes: DataFrame, cosine: float) -> DataFrame:
     return dealt.mapInArrow(lambda batches: _search(batches, model, cosine), "node long, root long, links long")
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95, exact: bool = False) -> DataFrame:
     """One row per vector: its id, n_links (other rows linked directly), component_id (the
-    smallest id that links reach) and kept (it is that id)."""
+    smallest id that links reach) and kept (it is that id). ``exact``: see the module's text."""
     rows, classes = _classes(vectors, id_col, vector_col)
     if classes.isEmpty():
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    found = checkpointed(links(classes, cosine))
+    found = checkpointed(links(classes, cosine, exact))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     labels = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     known = classes.join(counts, "node", "left").join(labels, "node", "left").select(
