@@ -5,46 +5,52 @@ codebook is one byte per id. Blocks hold whole documents and are decoded on thei
 ``EVERY`` ids a block notes the bit offset; the runs between two offsets are decoded side by
 side, one table look-up for all of them per step.
 
-Layout below the folder: ``codebook`` holds one frame "HUFC", the number of ids (u32) and a
-length byte for each id. ``blocks/segment=NNNNNN`` hold frames "HUFB", documents ascending by
-id through the segments. All numbers are little-endian:
+Texts are encoded where they are read and written as ids of two bytes; only those are dealt by
+ranges of document ids. Where a range begins and how many ids stand before it follows from
+ids and lengths alone, so each block knows its place before it is made. Ranges also cut rows
+that share an id, or have none, by a number of the row, so such a group is no single range.
+
+Layout below the folder: ``codebook.huf`` holds "HUFC", the number of ids (u32) and a length
+byte for each id. ``blocks/SSSSSS-FFFFF.huf`` (range, file) hold frames "HUFB", documents
+ascending by id through the files in the order of their names. All numbers are little-endian:
 
     4s magic, u32 documents, u64 ids of all documents before the block, u32 ids,
     u32 ids between checkpoints, u32 checkpoints, u32 payload bytes, u32 crc32 of the payload,
     then i64 document ids, u8 flags (1: the id is null), u32 ids of each document,
     u32 bit offsets, payload.
 
-A line end follows every frame; it is Spark's text writer that makes the files.
-
 Defined cases: a null text is empty and has the end id alone; documents without id come
-first; rows with the same id keep one row each, ordered by text; extra columns are ignored;
-an empty table gives no blocks and no rows. A hot source or group of copies is spread by
-document id, and a range of one repeated id stays in one segment.
+first; rows with the same id keep one row each, in the order they were read; extra columns are
+ignored; an empty table gives no blocks and no rows. A hot source or group of copies is spread
+by document id.
 """
 
 from __future__ import annotations
 
-import gc
 import struct
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arclog.llm.common import shared_folder
+from arclog.llm.common import parts_of, shared_folder
+from arclog.llm.files import opened, write_file, write_files
 from arclog.llm.tokens import encoded
 
 MAX_BITS = 20
 EVERY = 256
 END_ID = 2
 #: Ids of a block, but for one longer document.
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 18
 #: Blocks of a file; a reader holds one file at a time.
-FILE_BLOCKS = 8
+FILE_BLOCKS = 32
+#: Bytes of ids that a batch on its way to Spark holds at most, but for one long document.
+BATCH_BYTES = 1 << 22
 
 HEAD = struct.Struct("<4sIQIIIII")
 
@@ -146,97 +152,131 @@ def _frame(docs: np.ndarray, nulls: np.ndarray, tokens: np.ndarray, before: int,
     return b"".join([head, docs.astype("<i8").tobytes(), nulls.astype("u1").tobytes(), tokens.astype("<u4").tobytes(), offsets.astype("<u4").tobytes(), payload])
 
 
-def _blocks(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """Blocks of token ids, documents ascending: (part, before, docs, nulls, tokens, ids)."""
+def _tokenized(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
+    """(doc_id, n, ids): the ids of each text and the end id, two bytes each."""
     end = end_id.to_bytes(2, "little")
-    schema = pa.schema([("part", pa.int32()), ("before", pa.int64()), ("docs", pa.binary()), ("nulls", pa.binary()), ("tokens", pa.binary()), ("n_ids", pa.int64()), ("ids", pa.binary())])
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        before, held, parts, names = 0, 0, [], []
+        for batch in batches:
+            first, held, size = 0, [], 0
 
-        def block() -> pa.RecordBatch:
-            docs_ = np.array([d or 0 for d in names], "<i8").tobytes()
-            nulls = bytes(d is None for d in names)
-            tokens = np.array([len(p) // 2 for p in parts], "<u4").tobytes()
-            row = (part, before, docs_, nulls, tokens, held, b"".join(parts))
-            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
+            def some(names: pa.Array, held: list[bytes]) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([names, pa.array([len(x) // 2 for x in held], pa.int64()), pa.array(held, pa.binary())], names=["doc_id", "n", "ids"])
 
-        for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), encoded(batch.column(1).to_pylist(), vocabulary, "H"), strict=True):
-                names.append(doc)
-                parts.append(ids + end)
-                held += len(parts[-1]) // 2
-                if held >= BLOCK_IDS:
-                    yield block()
-                    before, held, parts, names = before + held, 0, [], []
-        if names:
-            yield block()
+            for ids in encoded(chain.from_iterable(parts_of(batch.column(1))), vocabulary, "H"):
+                held.append(ids + end)
+                size += len(ids)
+                if size >= BATCH_BYTES:
+                    yield some(batch.column(0).slice(first, len(held)), held)
+                    first, held, size = first + len(held), [], 0
+            if held:
+                yield some(batch.column(0).slice(first), held)
+
+    return docs.mapInArrow(tokenize, "doc_id long, n long, ids binary")
+
+
+def _ranges(rows: DataFrame) -> tuple[list[tuple], list[int]]:
+    """The first (known id, id, row) of every range and the ids of all documents before it: one
+    row for each partition comes back."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.col("row").alias("row"))
+    dealt = rows.select(place.alias("place"), "n").repartitionByRange(parts, "place.known", "place.id", "place.row")
+    found = dealt.groupBy(F.spark_partition_id().alias("part")).agg(F.min("place").alias("low"), F.sum("n").alias("n")).collect()
+    found = sorted((tuple(r["low"]), r["n"]) for r in found)
+    return [low for low, _ in found], [0, *accumulate(n for _, n in found)]
 
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return ordered.mapInArrow(tokenize, "part int, before long, docs binary, nulls binary, tokens binary, n_ids long, ids binary")
 
+def _whole(column: pa.BinaryArray) -> np.ndarray:
+    """The two-byte ids of all rows of a column without nulls, as they follow each other."""
+    cuts = np.frombuffer(column.buffers()[1], "<i4", len(column) + 1, 4 * column.offset)
+    return np.frombuffer(column.buffers()[2], "<u2", (cuts[-1] - cuts[0]) // 2, cuts[0]) if len(column) and cuts[-1] > cuts[0] else np.zeros(0, "<u2")
 
-def _counted(blocks: DataFrame, ids: int) -> np.ndarray:
-    """How often each id occurs in all blocks; as many rows as the vocabulary has come back."""
+
+def _counted(rows: DataFrame, ids: int) -> np.ndarray:
+    """How often each id occurs; as many rows as the vocabulary has come back."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(ids, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                total += np.bincount(np.frombuffer(x.as_py(), "<u2"), minlength=ids)
+            total += np.bincount(_whole(batch.column(0)), minlength=ids)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
 
     counts = np.zeros(ids, np.int64)
-    for row in blocks.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for row in rows.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[row["id"]] = row["n"]
     return counts
 
 
-def _write_frames(frames: DataFrame, path: str, **options) -> None:
-    writer = frames.write.option("lineSep", "\n").option("compression", "none")
-    for name, value in options.items():
-        writer = writer.option(name, value)
-    (writer.partitionBy("segment") if "segment" in frames.columns else writer).text(path)
-
-
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, ids: int = 1 << 16) -> None:
     """Token ids of all documents, ascending by id, below ``path``. ``ids``: one more than the
     largest id of the vocabulary; two bytes each hold them between the steps."""
     if ids > 1 << 16:
         raise ValueError("vocabularies beyond 65,536 ids need wider blocks")
     spark = docs.sparkSession
-    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     scratch = f"{path}/scratch"
-    _blocks(slim, vocabulary, end_id).write.option("compression", "zstd").parquet(scratch)
-    # the sorted texts are no more needed: let Spark's cleaner remove their shuffle files now
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-    blocks = spark.read.parquet(scratch)
-    lengths = code_lengths(_counted(blocks, ids))
-    # one row for each partition of the sort
-    totals = {row["part"]: row["n"] for row in blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}
-    starts, total = {}, 0
-    for part in sorted(totals):
-        starts[part], total = total, total + totals[part]
-    book = b"HUFC" + struct.pack("<I", len(lengths)) + lengths.tobytes()
-    _write_frames(spark.createDataFrame([(book,)], "frame binary").select(F.col("frame").cast("string")).coalesce(1), f"{path}/codebook")
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = canonical_codes(lengths)
+    _tokenized(slim, vocabulary, end_id).withColumn("row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(scratch)
+    rows = spark.read.parquet(scratch)
+    lengths = code_lengths(_counted(rows, ids))
+    write_file(f"{path}/codebook.huf", b"HUFC" + struct.pack("<I", len(lengths)) + lengths.tobytes())
+    lows, starts = _ranges(rows.select("doc_id", "row", "n"))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                frame = _frame(
-                    np.frombuffer(row["docs"], "<i8"), np.frombuffer(row["nulls"], "u1"), np.frombuffer(row["tokens"], "<u4"),
-                    starts[row["part"]] + row["before"], np.frombuffer(row["ids"], "<u2"), codes, lengths)
-                yield pa.RecordBatch.from_arrays([pa.array([frame], pa.binary()), pa.array([f"{row['part']:06d}"])], names=["frame", "segment"])
+            places = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            part = [bisect_right(lows, (doc is not None, doc or 0, row)) - 1 for doc, row in places]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *batch.columns], names=["part", *batch.schema.names])
+
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+        codes = canonical_codes(lengths)
+        part, blocks, before = -1, 0, 0
+        held: list[pa.RecordBatch] = []
+
+        def frame() -> tuple[str, bytes]:
+            nonlocal blocks, before
+            names = pa.concat_arrays([x.column(1) for x in held])
+            block = np.concatenate([_whole(x.column(3)) for x in held])
+            tokens = np.diff(np.concatenate([[0], *(_lengths(x.column(3)) for x in held)]).cumsum())
+            data = _frame(names.fill_null(0).to_numpy(), names.is_null().to_numpy(zero_copy_only=False), tokens, before, block, codes, lengths)
+            name = f"{part:06d}-{blocks // FILE_BLOCKS:05d}.huf"
+            held.clear()
+            blocks, before = blocks + 1, before + len(block)
+            return name, data
 
-    frames = blocks.select("part", "before", "docs", "nulls", "tokens", "ids").mapInArrow(encode, "frame binary, segment string")
-    _write_frames(frames.select(F.col("frame").cast("string").alias("frame"), "segment"), f"{path}/blocks", maxRecordsPerFile=FILE_BLOCKS)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.column(0).to_numpy()
+            ends = np.cumsum(_lengths(batch.column(3)))
+            at = 0
+            while at < len(own):
+                if own[at] != part:
+                    if held:
+                        yield frame()
+                    part, blocks, before = int(own[at]), 0, starts[own[at]]
+                room = BLOCK_IDS - sum(len(_whole(x.column(3))) for x in held)
+                upto = at + 1 + int(np.searchsorted(ends[at:], (ends[at - 1] if at else 0) + room))
+                upto = min(upto, len(own), int(np.searchsorted(own, part, "right")))
+                held.append(batch.slice(at, upto - at))
+                at = upto
+                if sum(len(_whole(x.column(3))) for x in held) >= BLOCK_IDS:
+                    yield frame()
+        if held:
+            yield frame()
+
+    write_files(_in_ranges(rows.select("doc_id", "row", "ids").mapInArrow(deal, "part int, doc_id long, row long, ids binary"), max(1, len(lows))), frames, f"{path}/blocks")
+    system, base = opened(scratch)
+    system.delete_dir(base)
+
+
+def _lengths(column: pa.BinaryArray) -> np.ndarray:
+    """How many two-byte ids each row has."""
+    return np.diff(np.frombuffer(column.buffers()[1], "<i4", len(column) + 1, 4 * column.offset)) // 2
+
+
+def _in_ranges(rows: DataFrame, parts: int) -> DataFrame:
+    return rows.repartitionById(parts, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "row")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -244,7 +284,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     n_tokens and ids (little-endian unsigned 32-bit)."""
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
     binary = lambda part: spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/{part}").select("content")
-    book = max((bytes(row["content"]) for row in binary("codebook").collect()), key=len)
+    book = bytes(binary("codebook.huf").first()["content"])
     (n,) = struct.unpack_from("<I", book, 4)
     lengths = np.frombuffer(book, np.uint8, n, 8)
 
@@ -268,7 +308,7 @@ def _read_file(content: pa.Buffer, table: tuple, schema: pa.Schema) -> Iterator[
         offsets = np.frombuffer(view, "<u4", n_offsets, at + 13 * n_docs)
         at += 13 * n_docs + 4 * n_offsets
         payload = bytes(view[at : at + n_payload])
-        at += n_payload + 1
+        at += n_payload
         if magic != b"HUFB" or zlib.crc32(payload) != crc:
             raise ValueError("a block of token ids is damaged")
         ids = decode_ids(payload, offsets, n_ids, every, table).astype("<u4")

@@ -4,6 +4,7 @@ import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -98,7 +99,8 @@ def test_piece_lengths():
 def test_token_files(docs):
     rows = huffman.round_trip(docs, VOCABULARY).orderBy("start").collect()
     start = 0
-    want = sorted(((d["doc_id"] is not None, d["doc_id"] or 0, d["text"] or "") for d in docs.collect()))
+    # rows that share an id stay in the order they were read
+    want = sorted(((d["doc_id"] is not None, d["doc_id"] or 0, d["text"] or "") for d in docs.collect()), key=lambda x: x[:2])
     assert len(rows) == len(want)
     for row, (known, doc, text) in zip(rows, want, strict=True):
         ids = plain(text) + [2]
@@ -108,6 +110,29 @@ def test_token_files(docs):
     assert huffman.round_trip(docs.limit(0), VOCABULARY).count() == 0
 
 
+def test_hot_ids_and_many_blocks(spark, tmp_path):
+    rows = [(5, f"word {i}") for i in range(3000)] + [(None, f"none {i}") for i in range(500)] + [(1000 + i, "word " * 9000) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    path = f"file:{tmp_path}/tokens"
+    huffman.write_tokens(docs, path, VOCABULARY)
+    files = sorted((tmp_path / "tokens/blocks").glob("*"))
+    assert len(files) > 2 and all(f.suffix == ".huf" for f in files) and not (tmp_path / "tokens/scratch").exists()
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+    book = (tmp_path / "tokens/codebook.huf").read_bytes()
+    table = huffman.decoding_table(np.frombuffer(book, np.uint8, 1 << 16, 8))
+    # files in the order of their names hold the documents in order, without a gap
+    at, ids = 0, []
+    for f in files:
+        for batch in huffman._read_file(pa.py_buffer(f.read_bytes()), table, schema):
+            for row in batch.to_pylist():
+                assert row["start"] == at
+                at += row["n_tokens"]
+                ids.append(row["doc_id"])
+    assert ids == sorted((r[0] for r in rows), key=lambda x: (x is not None, x or 0))
+    found = sorted((r["doc_id"] or -1, r["ids"]) for r in huffman.read_tokens(spark, path).collect())
+    assert found == sorted((d or -1, np.array([*plain(t), 2], "<u4").tobytes()) for d, t in rows)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 300), min_size=1, max_size=900), st.integers(9, 20), st.integers(1, 64))
 def test_huffman_codes(ids, most, every):
