@@ -8,6 +8,7 @@ that none is missing and that the lengths add up, and decodes the chunked framin
 
 Equal payloads are written once: the row with the largest page id is the response, the
 others revisit it. Files hold a bounded number of bytes, so a reader needs memory for one.
+Each record is a gzip member of its own, as readers that seek in archives expect.
 
 Defined cases: a null html is an empty payload. Rows without page id come before all others.
 Rows that repeat page id and payload have the same record id and role; each is read back as
@@ -18,20 +19,27 @@ a row. Records that lack a segment or whose lengths or digests differ keep their
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arclog.llm.common import shared_folder
+from arclog.llm.common import checkpointed, shared_folder
+from arclog.llm.files import write_files
 
 SEGMENT_BYTES = 1 << 15
 CHUNK_BYTES = 1 << 12
 FILE_BYTES = 1 << 24
+#: Pages that are written together.
+ROWS = 64
+#: Digests that occur twice up to which they go to every task: some 100 bytes each there.
+BROADCAST_DIGESTS = 200_000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -103,40 +111,42 @@ def records_of(page_id: int | None, payload: bytes, sha1: str, refers_to: int |
 
 def with_roles(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """(page_id, payload, sha1, response_id, revisit): the larger page id of equal payloads of at
-    least ``least_bytes`` bytes is the response. A hot payload is one row for each task before
-    the shuffle; the join back is one that Spark splits where a payload is hot."""
+    least ``least_bytes`` bytes is the response.
+
+    Only digests that occur twice are joined; a hot one is one row for each task before the
+    shuffle that counts it. Up to ``BROADCAST_DIGESTS`` of them go to every task and payloads
+    are not shuffled at all; beyond it they are joined by digest, which Spark splits where one
+    is hot."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), payload.alias("payload"), F.sha1(payload).alias("sha1"))
-    chosen = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(payload).alias("sha1")).groupBy("sha1").agg(F.max("page_id").alias("response_id"))
-    small = F.octet_length("payload") < least_bytes
-    return rows.join(chosen, "sha1").select(
+    digests = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(payload).alias("sha1"))
+    twice = checkpointed(digests.groupBy("sha1").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("sha1", "last", F.lit(True).alias("_twice")))
+    few = twice.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS
+    found = rows.join(F.broadcast(twice) if few else twice, "sha1", "left")
+    again = F.coalesce("_twice", F.lit(False)) & (F.octet_length("payload") >= least_bytes)
+    return found.select(
         "page_id", "payload", "sha1",
-        F.when(small, F.col("page_id")).otherwise(F.col("response_id")).alias("response_id"),
-        (~small & ~F.col("page_id").eqNullSafe(F.col("response_id"))).alias("revisit"),
+        F.when(again, F.col("last")).otherwise(F.col("page_id")).alias("response_id"),
+        (again & ~F.col("page_id").eqNullSafe(F.col("last"))).alias("revisit"),
     )
 
 
 def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES, file_bytes: int = FILE_BYTES) -> None:
     """Records of all ``pages`` (page_id, html) as gzipped WARC files below ``path``."""
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        # the text writer ends each row with the line end that ends the last record
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-2]], pa.binary())], names=["data"])
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+        name, size = f"{uuid.uuid4().hex}.warc.gz", 0
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for page_id, payload, sha1, response_id, revisit in zip(*columns, strict=True):
-                for record in records_of(page_id, payload, sha1, response_id, revisit, segment_bytes):
-                    held.append(record)
-                    size += len(record)
-                    if size >= file_bytes:
-                        yield flush()
-                        held, size = [], 0
-        if held:
-            yield flush()
+            for part in range(0, batch.num_rows, ROWS):
+                columns = [c.slice(part, ROWS).to_pylist() for c in batch.columns]
+                for page_id, payload, sha1, response_id, revisit in zip(*columns, strict=True):
+                    for record in records_of(page_id, payload, sha1, response_id, revisit, segment_bytes):
+                        yield name, gzip.compress(record, 6, mtime=0)
+                        size += len(record)
+                        if size >= file_bytes:
+                            name, size = f"{uuid.uuid4().hex}.warc.gz", 0
 
-    files = with_roles(pages, least_bytes).mapInArrow(write, "data binary")
-    files.select(F.col("data").cast("string")).write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
+    write_files(with_roles(pages, least_bytes), write, path)
 
 
 def _page(uri: str) -> int | None:
@@ -145,31 +155,37 @@ def _page(uri: str) -> int | None:
 
 
 def parse(data: bytes) -> Iterator[tuple]:
-    """The records of an unpacked WARC file, as RECORD has them. A continuation has its
-    origin's id as record id."""
+    """The records of unpacked WARC data, as RECORD has them. A continuation has its origin's id
+    as record id."""
     at = 0
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
-        fields = dict(line.split(": ", 1) for line in data[at:end].decode().split("\r\n")[1:])
-        size = int(fields["Content-Length"])
+        lines = (line.partition(":") for line in data[at:end].decode().split("\r\n")[1:])
+        fields = {name.strip().lower(): value.strip() for name, _, value in lines}
+        size = int(fields["content-length"])
         block = data[end + 4 : end + 4 + size]
         at = end + 8 + size
-        number, total = fields.get("WARC-Segment-Number"), fields.get("WARC-Segment-Total-Length")
-        origin = fields.get("WARC-Segment-Origin-ID", fields["WARC-Record-ID"])
-        length = fields.get("Payload-Length")
+        number, total = fields.get("warc-segment-number"), fields.get("warc-segment-total-length")
+        origin = fields.get("warc-segment-origin-id", fields["warc-record-id"])
+        length = fields.get("payload-length")
         yield (
-            origin.strip("<>"), _page(fields["WARC-Target-URI"]), fields["WARC-Type"], _page(fields.get("WARC-Refers-To-Target-URI", "None")),
-            fields.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None, length and int(length),
+            origin.strip("<>"), _page(fields["warc-target-uri"]), fields["warc-type"], _page(fields.get("warc-refers-to-target-uri", "None")),
+            fields.get("warc-payload-digest", "").removeprefix("sha1:") or None, length and int(length),
             number and int(number), total and int(total), block)
 
 
-def _unpacked(content: bytes) -> bytes:
-    parts = []
-    while content:
-        member = zlib.decompressobj(31)
-        parts.append(member.decompress(content))
-        content = member.unused_data
-    return b"".join(parts)
+def unpacked(content: memoryview, step: int = 1 << 16) -> Iterator[bytes]:
+    """The gzip members of a file, one after the other."""
+    at = 0
+    while at < len(content):
+        member, parts = zlib.decompressobj(31), []
+        while not member.eof:
+            if at >= len(content):
+                raise ValueError("a gzip member is cut short")
+            parts.append(member.decompress(content[at : at + step]))
+            at += len(content[at : at + step])
+        at -= len(member.unused_data)
+        yield b"".join(parts)
 
 
 def _read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -177,7 +193,7 @@ def _read_records(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 held, size = [], 0
-                for record in parse(_unpacked(content.as_py())):
+                for record in chain.from_iterable(map(parse, unpacked(memoryview(content.as_buffer())))):
                     held.append(record)
                     size += len(record[-1])
                     if size >= 1 << 22:

@@ -1,5 +1,6 @@
 """Packing, Huffman files and WARC: against the libraries themselves, on odd rows."""
 
+import gzip
 import sys
 import zlib
 
@@ -181,6 +182,29 @@ def test_warc_small_payloads_are_responses(pages):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_without_broadcast(pages, monkeypatch):
+    told = lambda df: sorted(map(str, df.select("page_id", "sha1", "response_id", "revisit").collect()))
+    want = told(warc.with_roles(pages))
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", 0)
+    assert told(warc.with_roles(pages)) == want and len(want) == pages.count()
+
+
+def test_each_record_is_a_gzip_member(spark, pages, tmp_path):
+    warc.write_warc(pages, f"file:{tmp_path}/a", segment_bytes=5000)
+    files = sorted((tmp_path / "a").iterdir())
+    assert files and all(f.name.endswith(".warc.gz") for f in files)
+    members = [m for f in files for m in warc.unpacked(memoryview(f.read_bytes()), 100)]
+    assert all(m.startswith(b"WARC/1.1\r\n") and len(list(warc.parse(m))) == 1 for m in members) and len(members) > 70
+    assert b"".join(members) == b"".join(gzip.decompress(f.read_bytes()) for f in files)
+    # other writers put a whole file into one member, and write names and spaces as they like
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b/x.warc.gz").write_bytes(gzip.compress(b"".join(members).replace(b"WARC-Type: ", b"warc-type:")))
+    told = lambda df: sorted(map(str, df.drop("payload").collect()))
+    assert told(warc.read_warc(spark, f"{tmp_path}/b")) == told(warc.read_warc(spark, f"{tmp_path}/a"))
+    with pytest.raises(ValueError):
+        list(warc.unpacked(memoryview(gzip.compress(b"x" * 1000)[:-20])))
+
+
 def test_warc_missing_segment(spark, tmp_path):
     path = tmp_path / "a"
     path.mkdir()
