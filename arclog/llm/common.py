@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import sys
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Hashable, Iterator
 from typing import Any
@@ -21,42 +23,29 @@ DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Bytes that a store of a Python worker holds at most, and the longest key that it takes.
 KEPT_BYTES = 32 << 20
 KEPT_KEY = 64
-#: Words told apart by whether they have been made before; two that share a place count as one.
-MADE = 1 << 21
-#: What a dictionary takes for an entry besides the key and the value.
-ENTRY_BYTES = 104
+#: What a short word and its value take in a dictionary besides the word's characters.
+ENTRY_BYTES = 200
 
 
 class Kept(dict):
     """Values by word; what is not there is made by ``make``. At most ``most`` bytes are held:
     entries go to a young half, and when that is full it becomes the old half, whose entries
-    come back when asked for. A word is kept from the second time on that it is made, as most
-    words come once; longer ones than KEPT_KEY never are."""
+    come back when asked for. Longer words than KEPT_KEY are never kept."""
 
     def __init__(self, make: Callable[[str], Any], most: int = KEPT_BYTES):
         super().__init__()
         self.make, self.half = make, most // 2
         self.old: dict[str, Any] = {}
         self.held = 0
-        self.made = bytearray(MADE)
 
     def __missing__(self, key: str) -> Any:
-        if key in self.old:
-            return self._keep(key, self.old[key])
-        value = self.make(key)
-        at = hash(key) % MADE
-        if not self.made[at]:
-            self.made[at] = 1
-            return value
-        return self._keep(key, value) if len(key) <= KEPT_KEY else value
-
-    def _keep(self, key: str, value: Any) -> Any:
-        self.held += sys.getsizeof(key) + sys.getsizeof(value) + ENTRY_BYTES
-        if self.held > self.half:
-            self.old, self.held = dict(self), 0
-            self.clear()
-            self.made = bytearray(MADE)
-        self[key] = value
+        value = self.old[key] if key in self.old else self.make(key)
+        if len(key) <= KEPT_KEY:
+            self.held += len(key) + ENTRY_BYTES
+            if self.held > self.half:
+                self.old, self.held = dict(self), 0
+                self.clear()
+            self[key] = value
         return value
 
 
@@ -68,7 +57,10 @@ def of_worker(key: Hashable, make: Callable[[], Any]) -> Any:
     what a stage kept goes when the next stage asks for its own."""
     if key not in _WORKER:
         _WORKER.clear()
+        gc.collect()
         pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries give memory back by themselves or not at all
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
         _WORKER[key] = make()
     return _WORKER[key]
 

@@ -1,11 +1,19 @@
 """Token ids of whole texts with the tokenizers library.
 
-A byte-level BPE of this kind never merges across a space that stands before other than white
-space: such a space always begins a piece of the splitting pattern. So a text is cut at just
-those spaces, each piece is encoded by the library, the common ones once (``Kept`` bounds their
-bytes), and the ids of the text are the pieces' ids put together. A run of Latin letters at the head of such a piece is
-one match of the pattern as well and goes to the library's model without the pattern. The
-result equals encoding the whole text.
+A byte-level BPE of this kind never merges across the matches of its splitting pattern, so a
+text may be cut between two matches: each piece is encoded by the library, common ones once
+(``Kept`` bounds their bytes), and the ids of the text are the pieces' ids put together. Cuts are
+made where a match always begins:
+
+* before a space that stands before other than white space;
+* in texts without white space but spaces and line ends, no three of them together and no two
+  at the end, before every space and around every line end: a run of white space gives its last
+  character to what follows, so of two each is a match of its own;
+* in texts in which every comma and full stop follows a letter or digit and stands before
+  one, white space or the end, before those as well: they are matches of their own.
+
+A run of Latin letters is one match too and goes to the library's model without the pattern.
+The result equals encoding the whole text.
 """
 
 from __future__ import annotations
@@ -17,11 +25,18 @@ from collections.abc import Iterable
 
 from arclog.llm.common import Kept, of_worker
 
-#: Bytes of pieces that a worker keeps, and a quarter of it for the beginnings of texts.
-KEPT_PIECES = 72 << 20
+#: Bytes of pieces that a worker keeps.
+KEPT_PIECES = 160 << 20
 
 #: Letters of every Unicode version: those of ASCII, Latin-1 and Latin Extended-A and -B.
-LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+LETTERS = re.compile(f"[{LATIN}]+")
+
+#: Commas and full stops that may be part of a longer match.
+JOINED = re.compile(rf"[,.](?:(?<![0-9{LATIN}].)|(?![0-9{LATIN} \n]|\Z))", re.DOTALL)
+#: White space but spaces and line ends, and what marks the cuts.
+OTHER_SPACE = re.compile("[\0\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+LONG_SPACE = re.compile(r"[ \n]{3}|[ \n]{2}\Z")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -44,47 +59,48 @@ class Encoder:
         self.letters = _byte_letters()
         self.space = self.letters[0x20]
         self.code = code
-        self.first = Kept(self._whole, kept // 4)
-        self.rest = Kept(self._after_space, kept)
+        self.pieces = Kept(self._piece, kept)
 
     def _whole(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _after_space(self, piece: str) -> bytes | None:
-        """The ids of a piece and the space before it; None if it begins with white space and
-        so belongs to the piece before it."""
-        if piece.isascii() and piece.isalpha():
-            return array(self.code, [t.id for t in self.tokenize(self.space + piece)]).tobytes()
-        if not piece or piece[0].isspace():
-            return None
-        head = LETTERS.match(piece)
+    def _piece(self, piece: str) -> bytes:
+        """The ids of a piece that begins with a match; the space before a word is its own."""
+        space = piece.startswith(" ")
+        word = piece[1:] if space else piece
+        if word.isascii() and word.isalpha():
+            return array(self.code, [t.id for t in self.tokenize(self.space + word if space else word)]).tobytes()
+        head = LETTERS.match(word)
         end = head.end() if head else 0
-        if end == len(piece):
-            mapped = piece.encode().decode("latin-1").translate(self.letters)
-            return array(self.code, [t.id for t in self.tokenize(self.space + mapped)]).tobytes()
-        if end and piece[end] < "\u0250" and not piece[end].isalpha():
-            return self.rest[piece[:end]] + self.first[piece[end:]]
-        return self._whole(" " + piece)
-
-    def _merged(self, pieces: list[str]) -> bytes:
-        parts = [pieces[0]]
-        for piece in pieces[1:]:
-            if not piece or piece[0].isspace():
-                parts[-1] += " " + piece
+        if end and end == len(word):
+            mapped = word.encode().decode("latin-1").translate(self.letters)
+            return array(self.code, [t.id for t in self.tokenize(self.space + mapped if space else mapped)]).tobytes()
+        if end and word[end] < "\u0250" and not word[end].isalpha():
+            return self.pieces[piece[: space + end]] + self.pieces[word[end:]]
+        return self._whole(piece) if piece else b""
+
+    def _cut(self, text: str) -> list[str]:
+        """The pieces of a text; see the module's text."""
+        if not OTHER_SPACE.search(text):
+            wide = "  " in text or "\n\n" in text or " \n" in text or "\n " in text
+            if not (wide and LONG_SPACE.search(text)):
+                marked = text.replace(" ", "\0 ").replace("\n", "\0\n\0")
+                if not JOINED.search(text):
+                    marked = marked.replace(",", "\0,").replace(".", "\0.")
+                return marked.split("\0")
+        first, *rest = text.split(" ")
+        parts = [first]
+        for word in rest:
+            if not word or word[0].isspace():
+                parts[-1] += " " + word
             else:
-                parts.append(piece)
-        return self.first[parts[0]] + b"".join([self._whole(" " + p) if " " in p else self.rest[p] for p in parts[1:]])
+                parts.append(" " + word)
+        return parts
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """The ids of each text."""
-        first, rest, out = self.first, self.rest.__getitem__, []
-        for text in texts:
-            pieces = text.split(" ")
-            try:
-                out.append(first[pieces[0]] + b"".join(map(rest, pieces[1:])))
-            except TypeError:
-                out.append(self._merged(pieces))
-        return out
+        ids = self.pieces.__getitem__
+        return [b"".join(map(ids, self._cut(text))) for text in texts]
 
 
 def encoder(path: str, code: str = "I") -> Encoder:

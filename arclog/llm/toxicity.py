@@ -462,7 +462,7 @@ class Margins:
         out.update((w, self.told[w]) for w in words & self.told.keys())
         for w in [w for w in found if len(w) > KEPT_KEY]:
             del found[w]
-        self.held += sum(map(len, found)) + (ENTRY_BYTES + 64) * len(found)
+        self.held += sum(map(len, found)) + ENTRY_BYTES * len(found)
         if self.held > self.half:
             self.old, self.young, self.told, self.held = self.young, {}, {}, 0
         self.young.update(found)

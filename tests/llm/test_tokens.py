@@ -1,7 +1,6 @@
 """Packing, Huffman files and WARC: against the libraries themselves, on odd rows."""
 
 import gzip
-import sys
 import zlib
 
 import numpy as np
@@ -53,14 +52,14 @@ def test_stores_are_bounded_by_bytes():
     for _ in range(3):
         for i in range(2000):
             assert kept[f"word{i}"] == (f"word{i}", len(f"word{i}"))
-            assert sum(sys.getsizeof(k) + sys.getsizeof(v) + ENTRY_BYTES for d in (kept, kept.old) for k, v in d.items()) <= 40_500
+            assert sum(len(k) + ENTRY_BYTES for d in (kept, kept.old) for k in d) <= 40_500
     assert kept and kept.old
     # a text without spaces is one piece and is never kept
     encoder = Encoder(VOCABULARY)
     long = "a" * 100_000
     for _ in range(3):
         assert np.frombuffer(encoder.encode([long + " " + long])[0], "<u4").tolist() == plain(long + " " + long)
-    assert not encoder.first and not encoder.rest and not encoder.first.held
+    assert not encoder.pieces and not encoder.pieces.held
 
 
 def test_a_worker_keeps_one_thing():
@@ -194,7 +193,7 @@ def test_each_record_is_a_gzip_member(spark, pages, tmp_path):
     files = sorted((tmp_path / "a").iterdir())
     assert files and all(f.name.endswith(".warc.gz") for f in files)
     members = [m for f in files for m in warc.unpacked(memoryview(f.read_bytes()), 100)]
-    assert all(m.startswith(b"WARC/1.1\r\n") and len(list(warc.parse(m))) == 1 for m in members) and len(members) > 70
+    assert all(m.startswith(b"WARC/1.1\r\n") and len(list(warc.parse(m))) == 1 for m in members) and len(members) > 50
     assert b"".join(members) == b"".join(gzip.decompress(f.read_bytes()) for f in files)
     # other writers put a whole file into one member, and write names and spaces as they like
     (tmp_path / "b").mkdir()
