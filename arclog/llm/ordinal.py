@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arclog.llm.common import Kept, held_out, of_worker
+from arclog.llm.common import Kept, held_out, of_worker, parts_of
 
 BUCKETS = 1 << 16
 SAMPLE = 4000
@@ -93,53 +93,71 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(value[:, None] - self.thresholds[None], -40, 40)))
 
 
-def train(texts: list[str | None], grades: list[int], n_grades: int, rounds: int = ROUNDS, penalty: float = 3e-5) -> Model:
-    """The likeliest weights and thresholds under a small penalty, by Adam on all documents."""
-    if not texts:
-        return Model(np.zeros(BUCKETS), np.zeros(n_grades - 1))
-    pairs = [features(t) for t in texts]
+def loss(pairs: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, w: np.ndarray, free: np.ndarray, penalty: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The mean negative log-likelihood with the penalty, and its slopes in the weights and in
+    ``free``: t_0 and the logarithms of the gaps between thresholds, which keep them in order.
+
+    P(y) = P(> y - 1) - P(> y), taken as a product that loses no digits in the tails."""
     row = np.repeat(np.arange(len(pairs)), [len(b) for b, _ in pairs])
     bucket, value = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    t = np.cumsum(np.r_[free[:1], np.exp(free[1:])])
+    score = np.bincount(row, weights=value * w[bucket], minlength=len(grades))
+    edge = np.r_[-np.inf, t, np.inf]
+    low, high = score - edge[grades], score - edge[grades + 1]
+    below = lambda x: 1 / (1 + np.exp(np.clip(x, -500, 500)))
+    # log(s(low) - s(high)) = log s(low) + log s(-high) + log(1 - exp(high - low))
+    log_s = lambda x: -np.logaddexp(0, -x)
+    gap = low - high
+    total = -(log_s(low) + log_s(-high) + np.log(-np.expm1(-gap))).mean() + penalty * (w @ w) / 2
+    d_score = -(below(low) - below(-high)) / len(grades)
+    narrow = np.exp(-gap) / -np.expm1(-gap)  # slope of the last term in the gap
+    d_edge = np.bincount(grades + 1, weights=-(below(-high) + narrow), minlength=len(edge)) + np.bincount(grades, weights=below(low) + narrow, minlength=len(edge))
+    d_t = d_edge[1:-1] / len(grades)
+    tail = np.cumsum(d_t[::-1])[::-1]
+    return total, np.bincount(bucket, weights=value * d_score[row], minlength=len(w)) + penalty * w, np.r_[tail[:1], tail[1:] * np.exp(free[1:])]
+
+
+def train(pairs: list[tuple[np.ndarray, np.ndarray]], grades: list[int], n_grades: int, rounds: int = ROUNDS, penalty: float = 3e-5) -> Model:
+    """The likeliest weights and thresholds under a small penalty, by Adam on all documents, each
+    given by its ``features``."""
+    if not pairs:
+        return Model(np.zeros(BUCKETS), np.zeros(n_grades - 1))
     y = np.array(grades)
-    beyond = (y[:, None] > np.arange(n_grades - 1)[None]).astype(float)
-    share = np.clip(beyond.mean(axis=0), 0.01, 0.99)
+    share = np.clip((y[:, None] > np.arange(n_grades - 1)[None]).mean(axis=0), 0.01, 0.99)
     start = np.maximum.accumulate(-np.log(share / (1 - share)) + 1e-3 * np.arange(n_grades - 1))
-    # t_0 and the logarithms of the gaps keep the thresholds in order
-    free = np.r_[start[:1], np.log(np.maximum(np.diff(start), 1e-2))]
-    w = np.zeros(BUCKETS)
-    state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(free), np.zeros_like(free)]
+    parts = [np.zeros(BUCKETS), np.r_[start[:1], np.log(np.maximum(np.diff(start), 1e-2))]]
+    state = [(np.zeros_like(x), np.zeros_like(x)) for x in parts]
     for step in range(1, rounds + 1):
-        t = np.cumsum(np.r_[free[:1], np.exp(free[1:])])
-        score = np.bincount(row, weights=value * w[bucket], minlength=len(y))
-        upper = 1 / (1 + np.exp(-np.clip(score[:, None] - t[None], -40, 40)))
-        # P(y) = P(> y - 1) - P(> y)
-        cum = np.hstack([np.ones((len(y), 1)), upper, np.zeros((len(y), 1))])
-        each = np.arange(len(y))
-        p = np.maximum(cum[each, y] - cum[each, y + 1], 1e-9)
-        slope = cum * (1 - cum)
-        d_score = -(slope[each, y] - slope[each, y + 1]) / p
-        d_t = np.zeros((len(y), n_grades + 1))
-        d_t[each, y] += slope[each, y] / p
-        d_t[each, y + 1] -= slope[each, y + 1] / p
-        d_t = d_t[:, 1:-1].mean(axis=0)
-        tail = np.cumsum(d_t[::-1])[::-1]
-        grads = (np.bincount(bucket, weights=value * d_score[row], minlength=BUCKETS) / len(y) + penalty * w, np.r_[tail[:1], tail[1:] * np.exp(free[1:])])
-        for k, (x, g) in enumerate(((w, grads[0]), (free, grads[1]))):
-            m, v = state[2 * k], state[2 * k + 1]
+        slopes = loss(pairs, y, *parts, penalty)[1:]
+        for x, g, (m, v) in zip(parts, slopes, state, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             x -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    w, free = parts
     return Model(w, np.cumsum(np.r_[free[:1], np.exp(free[1:])]))
 
 
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pairs = [features(x.as_py()) for x in batch.column(2)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array([b.astype("<i4").tobytes() for b, _ in pairs], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in pairs], pa.binary())],
+            names=["doc_id", "grade", "buckets", "values"])
+
+
 def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, sample: int = SAMPLE) -> Model:
     """A model from rated documents (doc_id, grade) that are not held out, at most ``sample``
-    of them; of differing grades of a document the lowest counts."""
-    known = ratings.where(F.col("grade").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("grade").alias("grade"))
+    of them; of differing grades of a document the lowest counts, and of rows that repeat an id
+    the smallest text. Features are made where the texts are; what comes to the driver is at
+    most ``sample`` rows of at most a few for each bucket."""
+    known = ratings.where(F.col("grade").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     # a fixed number of rows, so the broadcast has a bound
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").collect()
-    return train([r["text"] for r in rows], [int(r["grade"]) for r in rows], n_grades)
+    each = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = each.mapInArrow(_featured, f"doc_id {kind}, grade int, buckets binary, values binary").orderBy("doc_id").collect()
+    pairs = [(np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["values"], "<f4").astype(float)) for r in rows]
+    return train(pairs, [r["grade"] for r in rows], n_grades)
 
 
 def with_grades(docs: DataFrame, model: Model, tail: int = 1, text_col: str = "text") -> DataFrame:
@@ -150,7 +168,7 @@ def with_grades(docs: DataFrame, model: Model, tail: int = 1, text_col: str = "t
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = np.array([model.weights[b] @ v for b, v in (features(x.as_py()) for x in batch.column(at))]).reshape(-1)
+            score = np.array([model.weights[b] @ v for x in parts_of(batch.column(at)) for b, v in map(features, x)]).reshape(-1)
             above = model.above(score)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(above.sum(axis=1)), pa.array(np.ascontiguousarray(above[:, tail - 1]))],

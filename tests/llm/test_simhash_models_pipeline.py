@@ -282,6 +282,58 @@ def test_run_together_words():
             assert found is not None and found[[0, 0, 1, 2, 2][i]] >= toxicity.FLOOR, word
 
 
+def test_ordinal_likelihood_and_slopes():
+    """The loss against probabilities written out document by document, its slopes against
+    differences, and the trained model against the least loss that many more rounds find."""
+    rng = np.random.default_rng(6)
+    pairs = [(rng.integers(0, 40, 5), rng.normal(size=5)) for _ in range(60)]
+    y, w, free = rng.integers(0, 4, 60), rng.normal(size=40), np.array([-1.0, -0.5, 0.7])
+    thresholds = np.cumsum(np.r_[free[0], np.exp(free[1:])])
+
+    def plain(w, thresholds, penalty):
+        total = 0.0
+        for (buckets, values), grade in zip(pairs, y, strict=True):
+            x = sum(w[b] * v for b, v in zip(buckets, values, strict=True))
+            above = [1.0, *(1 / (1 + np.exp(t - x)) for t in thresholds), 0.0]
+            total -= np.log(above[grade] - above[grade + 1])
+        return total / len(pairs) + penalty * sum(w * w) / 2
+
+    value, dw, df = ordinal.loss(pairs, y, w, free, 0.01)
+    assert value == pytest.approx(plain(w, thresholds, 0.01))
+    for i in range(40):
+        step = np.eye(40)[i] * 1e-6
+        assert dw[i] == pytest.approx((plain(w + step, thresholds, 0.01) - plain(w - step, thresholds, 0.01)) / 2e-6, abs=1e-7)
+    for i in range(3):
+        step = np.eye(3)[i] * 1e-6
+        moved = [np.cumsum(np.r_[f[0], np.exp(f[1:])]) for f in (free + step, free - step)]
+        assert df[i] == pytest.approx((plain(w, moved[0], 0.01) - plain(w, moved[1], 0.01)) / 2e-6, abs=1e-7)
+    far = ordinal.loss(pairs, y, 300 * w, free, 0.0)
+    assert all(np.isfinite(x).all() for x in far)
+    short, long = (ordinal.train(pairs, y.tolist(), 4, rounds, 0.02) for rounds in (ordinal.ROUNDS, 3000))
+    least = plain(long.weights[:40], long.thresholds, 0.02)
+    assert plain(short.weights[:40], short.thresholds, 0.02) == pytest.approx(least, abs=5e-3)
+    score = np.array([long.weights[b] @ v for b, v in pairs])
+    above = long.above(score)
+    assert (np.diff(above, axis=1) <= 0).all() and above.sum(axis=1) == pytest.approx([sum(1 / (1 + np.exp(t - x)) for t in long.thresholds) for x in score])
+
+
+def test_ordinal_odd_tables(spark, monkeypatch):
+    docs = spark.createDataFrame([(3, "b b", "x")] * 300 + [(3, "a", "x"), (3, None, "x"), (4, "é " * 200_000, "x"), (5, "", "x"), (None, "d", "x")], "doc_id long, text string, expected_grade string")
+    ratings = spark.createDataFrame([(3, 2), (3, 1), (4, 0), (5, None), (None, 1), (9, 1)], "doc_id long, grade int")
+    monkeypatch.setattr(ordinal, "held_out", lambda c: F.lit(False))
+    taken = []
+    train = ordinal.train
+    monkeypatch.setattr(ordinal, "train", lambda pairs, grades, n: taken.append((pairs, grades)) or train(pairs, grades, n))
+    model = ordinal.fit(docs, ratings, 3)
+    pairs, grades = taken[0]
+    assert grades == [1, 0] and all(np.array_equal(b, ordinal.features(t)[0]) for (b, _), t in zip(pairs, ["a", "é " * 200_000], strict=True))
+    rows = ordinal.with_grades(docs, model, 2)
+    assert rows.columns == ["doc_id", "text", "expected_grade", "tail"] and rows.count() == docs.count()
+    assert all(0 <= r["tail"] <= 1 and 0 <= r["expected_grade"] <= 2 for r in rows.collect())
+    assert ordinal.with_grades(docs.limit(0), model).count() == 0
+    assert ordinal.fit(docs.limit(0), ratings, 3).thresholds.tolist() == [0, 0]
+
+
 def test_ordinal_held_out(spark, tables):
     docs, labels = tables
     model = ordinal.fit(docs, ordinal.grades_of(labels), 3)
