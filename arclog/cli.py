@@ -62,9 +62,13 @@ def parser() -> argparse.ArgumentParser:
 
 
 def lines_of(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, raw) of a text file: numbered by block of the file, then by place in it."""
-    text = spark.read.option("lineSep", "\n").text(path)
-    return text.select(F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("raw"))
+    """(line_no, raw, end) of a text file: numbered by block of the file, then by place in it.
+    The file's length tells whether its last line has an end."""
+    text = spark.read.option("lineSep", "\n").text(path).select(F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("raw"))
+    length = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
+    told = text.agg(F.sum(F.octet_length("raw").cast("long") + 1).alias("n"), F.max("line_no").alias("last")).first()
+    whole = told["n"] is None or told["n"] == length
+    return text.withColumn("end", F.lit(True) if whole else F.col("line_no") != told["last"])
 
 
 def print_all(df: DataFrame) -> None:
@@ -82,13 +86,14 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
             archive.create(lines, args.archive, args.id, args.format, args.year)
         else:
             archive.append(lines, args.archive, args.id, args.year)
-        archive.stats(archive.chunks(spark, args.archive, args.id)).show(truncate=False)
+        archive.stats(archive.index(spark, args.archive, args.id)).show(truncate=False)
+        archive.stored_sizes(spark, args.archive).where(F.col("archive_id") == args.id).show(truncate=False)
     elif args.command in ("search", "export"):
         found = archive.chunks(spark, args.archive, args.id)
         fmt = archive.archives(spark, args.archive).where(F.col("archive_id") == args.id).first()["format"]
         if args.command == "search":
             search = Search(args.query, args.frm, args.to, args.user, args.ip, args.action, args.level, args.mode, fmt)
-            for row in search.run(found).toLocalIterator():
+            for row in archive.search(spark, args.archive, args.id, search).toLocalIterator():
                 print(row["raw"])
             print(search.stats(found).first().asDict(), file=sys.stderr)
         else:
@@ -98,9 +103,10 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         print(archive.restore(archive.chunks(spark, args.archive, args.id), args.output), "bytes", file=sys.stderr)
     elif args.command == "verify":
         verdicts = archive.verify(spark, args.archive).collect()
+        entries = {row["archive_id"]: row["index_status"] for row in archive.verify_index(spark, args.archive).collect()}
         for row in verdicts:
-            print(row.asDict())
-        return int(any(row["status"] != "VERIFIED" for row in verdicts))
+            print(row.asDict() | {"index_status": entries[row["archive_id"]]})
+        return int(any(row["status"] != "VERIFIED" for row in verdicts) or any(x != "VERIFIED" for x in entries.values()))
     elif args.command == "verify-lock":
         print_all(retention.lock_status(spark.read.parquet(args.objects), args.now or int(time.time())))
     else:

@@ -7,9 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values of the archive format: delimiters of tokens, keys of logical fields in the
+# Fixed values of the archive format: delimiters of tokens as a pattern, keys of logical fields in the
 # order in which they are tried, and the keys whose values the field filter holds.
-DELIMITERS = ' ":\n\r\t,{}[]'
 TOKEN_SPLIT = r'[ ":\n\r\t,{}\[\]]+'
 ALIASES = {
     "timestamp": ("timestamp", "time", "ts", "@timestamp"),
@@ -137,3 +136,12 @@ def glob_regex(glob: Column) -> Column:
     """A pattern in which ``*`` stands for anything but ``/``, as a regular expression."""
     escaped = F.regexp_replace(glob, r"([.\\+?\[\]\^\$\(\)\{\}\|])", r"\\$1")
     return F.concat(F.lit("^"), F.replace(escaped, F.lit("*"), F.lit("[^/]*")), F.lit("$"))
+
+
+def url_encoded(key: Column) -> Column:
+    """An object's key as it stands in a URL: slashes stay, all but unreserved characters are
+    escaped."""
+    out = F.url_encode(key)
+    for found, wanted in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
+        out = F.replace(out, F.lit(found), F.lit(wanted))
+    return out

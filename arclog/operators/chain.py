@@ -32,12 +32,16 @@ def with_chain(chunks: DataFrame, seeds: dict[str, str] | None = None) -> DataFr
             for name, raw in zip(names, raws, strict=True):
                 if name != archive:
                     archive, last = name, bytes.fromhex(seeds.get(name, ""))
-                last = hashlib.sha256(last + (raw.encode() if isinstance(raw, str) else raw)).digest()
+                last = hashlib.sha256(last + raw).digest()
                 hashes.append(last.hex())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hashes, pa.string())], names=[*order, "chunk_hash"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema.fields)
-    return chunks.repartition("archive_id").sortWithinPartitions("archive_id", "seq").mapInArrow(fold, f"{fields}, chunk_hash string")
+    # bodies may be no UTF-8, so they travel as bytes
+    kind = chunks.schema["raw"].dataType
+    bytes_ = chunks.withColumn("raw", F.col("raw").cast("binary"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bytes_.schema.fields)
+    linked = bytes_.repartition("archive_id").sortWithinPartitions("archive_id", "seq").mapInArrow(fold, f"{fields}, chunk_hash string")
+    return linked.withColumn("raw", F.col("raw").cast(kind))
 
 
 def heads(chunks: DataFrame) -> DataFrame:

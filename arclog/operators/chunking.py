@@ -12,13 +12,16 @@ GROUP_LINES = 1 << 16
 
 
 def with_chunks(lines: DataFrame, chunk_bytes: int = CHUNK_BYTES, start: int = 0) -> DataFrame:
-    """``lines`` (archive_id, line_no, raw) with ``offset`` and ``chunk_id``.
+    """``lines`` (archive_id, line_no, raw) with ``end``, ``offset`` and ``chunk_id``.
 
+    ``end`` tells whether a line has its line end; where the column is missing every line has.
     A line and its end count; a line belongs to the chunk of its first byte, so chunks never
     cut lines. Sums of whole groups of line numbers give each group its start; only within a
     group are lines ordered. Two shuffles, of slim rows and of lines.
     """
-    sized = lines.withColumn("_size", F.octet_length("raw").cast("long") + 1).withColumn("_group", F.floor(F.col("line_no") / GROUP_LINES))
+    if "end" not in lines.columns:
+        lines = lines.withColumn("end", F.lit(True))
+    sized = lines.withColumn("_size", F.octet_length("raw").cast("long") + F.col("end").cast("long")).withColumn("_group", F.floor(F.col("line_no") / GROUP_LINES))
     groups = sized.groupBy("archive_id", "_group").agg(F.sum("_size").alias("_bytes"))
     order = Window.partitionBy("archive_id").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
     starts = groups.select("archive_id", "_group", F.coalesce(F.sum("_bytes").over(order), F.lit(0)).alias("_start"))

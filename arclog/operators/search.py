@@ -3,7 +3,8 @@
 ``exact`` finds every line that matches: chunks are skipped only where the index proves that
 no line of theirs can, and each line is tested. ``reference`` has the reference semantics:
 time and field filters choose whole chunks, and a query is looked up by its whole tokens, so
-that parts of tokens may be missed.
+that parts of tokens may be missed. Over a stored archive, ``archive.search`` looks the index
+up first and opens only the parts that it leaves.
 """
 
 from __future__ import annotations
@@ -20,6 +21,11 @@ from arclog.functions.times import date_bound, line_epoch
 FIELDS = ("user", "ip", "action", "level")
 
 
+def body() -> Column:
+    """A chunk's text as it is searched and shown: bytes that are no UTF-8 are U+FFFD."""
+    return F.make_valid_utf8(F.col("raw"))
+
+
 def _and(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, parts, F.lit(True))
 
@@ -55,12 +61,16 @@ class Search:
         if not self.query:
             return F.lit(True)
         wanted = t.interior_tokens(self.query) if self.mode == "exact" else t.query_tokens(self.query)
-        return F.coalesce(bloom.has_all(F.col("bloom"), wanted, self.text_bits), F.lit(not wanted))
+        return F.col("bloom").isNull() | bloom.has_all(F.col("bloom"), wanted, self.text_bits)
+
+    def prunes(self, index: DataFrame) -> DataFrame:
+        """What the index leaves; it needs no text. A filter that is not there may hold anything."""
+        return index.where(self.time_passes()).where(self.fields_pass()).where(self.text_passes())
 
     def survivors(self, chunks: DataFrame) -> DataFrame:
-        """Chunks that are read: index columns first, then the body."""
-        kept = chunks.where(self.time_passes()).where(self.fields_pass()).where(self.text_passes())
-        return kept.where(F.contains(F.col("raw"), F.lit(self.query))) if self.query else kept
+        """Chunks whose lines are tested: what the index leaves and the body may have."""
+        kept = self.prunes(chunks)
+        return kept.where(F.contains(body(), F.lit(self.query))) if self.query else kept
 
     def line_matches(self, line: Column) -> Column:
         parts = [line != ""]
@@ -76,18 +86,31 @@ class Search:
 
     def run(self, chunks: DataFrame) -> DataFrame:
         """(archive_id, chunk_id, raw): one row per matching line."""
-        lines = self.survivors(chunks).select("archive_id", "chunk_id", F.explode(F.split("raw", "\n")).alias("raw"))
+        return self.lines(self.survivors(chunks))
+
+    def lines(self, survivors: DataFrame) -> DataFrame:
+        lines = survivors.select("archive_id", "chunk_id", F.explode(F.split(body(), "\n")).alias("raw"))
         return lines.where(self.line_matches(F.col("raw")))
 
+    def reason(self) -> Column:
+        """The layer that skips a chunk, the first that does; null where it is read."""
+        return F.when(~self.time_passes(), "time").when(~self.fields_pass(), "field").when(~self.text_passes(), "bloom")
+
+    def matches(self) -> Column:
+        """How many lines of a chunk match."""
+        return F.size(F.filter(F.split(body(), "\n"), self.line_matches)).cast("long")
+
+    @staticmethod
+    def counted(each: DataFrame) -> DataFrame:
+        """One row: chunks in all, scanned, skipped by each layer, matches."""
+        skipped = [F.sum(F.when(F.col("reason") == r, F.col("_chunk")).otherwise(0)).alias(f"skipped_by_{r}") for r in ("time", "field", "bloom")]
+        found = each.agg(F.sum("_chunk").alias("total"), F.sum(F.when(F.col("reason").isNull(), F.col("_chunk")).otherwise(0)).alias("scanned"), *skipped, F.sum("n").alias("matches"))
+        return found.select(*[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in found.columns])
+
     def stats(self, chunks: DataFrame) -> DataFrame:
-        """One row: chunks in all, scanned, skipped by each layer (the first that fails), matches."""
-        reason = F.when(~self.time_passes(), "time").when(~self.fields_pass(), "field").when(~self.text_passes(), "bloom")
-        n = F.size(F.filter(F.split("raw", "\n"), self.line_matches)).cast("long")
-        each = chunks.select(reason.alias("reason"), F.when(reason.isNull() & F.contains("raw", F.lit(self.query)), n).otherwise(0).alias("n"))
-        return each.agg(
-            F.count(F.lit(1)).alias("total"), F.count_if(F.col("reason").isNull()).alias("scanned"),
-            *[F.count_if(F.coalesce(F.col("reason") == r, F.lit(False))).alias(f"skipped_by_{r}") for r in ("time", "field", "bloom")],
-            F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("matches"))
+        """One row as ``counted`` has it, for chunks whose index and text are one table."""
+        read = self.reason().isNull() & F.contains(body(), F.lit(self.query))
+        return self.counted(chunks.select(F.lit(1).alias("_chunk"), self.reason().alias("reason"), F.when(read, self.matches()).otherwise(0).alias("n")))
 
 
 def search(chunks: DataFrame, query: str = "", **options) -> DataFrame:

@@ -198,6 +198,18 @@ def oracle_sql() -> dict[str, str]:
         "s3_url_parse": f"WITH {OBJECTS} SELECT 's3://' || bucket || '//' || key AS url, bucket, key FROM objects",
         "glob_match": f"WITH {OBJECTS} SELECT name, count(*) AS n FROM objects JOIN streams ON regexp_matches(key, regex) GROUP BY name",
     }
+    found |= {
+        "archive_create": found["archive_stats"], "archive_append": found["append_chain"],
+        "archive_stream": f"WITH {SYSLOG_LOG} SELECT raw FROM syslog_log",
+        "utf8_replaced": f"WITH {SYSLOG_LOG} SELECT raw || chr(65533) AS raw FROM syslog_log",
+        "export_csv": found["export_records"], "export_jsonl": found["export_records"],
+        "verify_index": "SELECT 'json_log' AS archive_id, 'VERIFIED' AS index_status, NULL::BIGINT AS bad_entry",
+        "verify_index_tampered": "SELECT 'json_log' AS archive_id, 'TAMPERED' AS index_status, 1::BIGINT AS bad_entry",
+        "policy_streams": """SELECT * FROM (VALUES ('audit', 's3://logs/audit/*.logz', 2555::BIGINT, true, 'logs/audit/'), ('app', 's3://logs/app/*.logz', 9000, false, 'logs/app/'),
+          ('all', 's3://other/*/*', 30, true, 'other/'), ('new', 's3://logs/app/*.log', 20000, true, 'logs/app/')) AS s(name, pattern, retention_days, lock, listed)""",
+        "retention_actions": f"SELECT action, count(*) AS n FROM ({found['retention_plan']}) GROUP BY action",
+        "url_encoded": f"WITH {OBJECTS}, keys AS (SELECT key || ' é+~*%/' || bucket AS key FROM objects) SELECT key, replace(url_encode(key), '%2F', '/') AS encoded FROM keys",
+    }
     for name in ("djb2", "fnv1a", "sdbm"):
         found[name] = f"WITH {CHAT_LOG}, words AS (SELECT DISTINCT unnest({TOKENS}) AS token FROM chat_log) SELECT token, {name} AS hash FROM (SELECT token, {_hashes('token')} FROM words)"
     return found

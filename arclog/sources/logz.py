@@ -16,13 +16,17 @@ The file's folder must be one that driver and executors share.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import os
 import re
+import shutil
 import struct
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from itertools import chain, islice
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
@@ -176,12 +180,13 @@ class LogzReader(DataSourceReader):
 
 @dataclass
 class Part(WriterCommitMessage):
-    rows: list[tuple[int, bytes]]
+    path: str
 
 
 class LogzWriter(DataSourceWriter):
     """Writes lines (line_no, raw) as one file. Its chain makes the format sequential: tasks
-    hand their lines to the driver, which writes. For exchange only; archives are tables."""
+    leave their lines in order in files beside it, and the driver merges these as it writes,
+    so it holds a chunk and the index at a time. For exchange only; archives are tables."""
 
     def __init__(self, options: dict[str, str], columns: list[str]):
         self.path = options["path"].removeprefix("file:")
@@ -190,21 +195,51 @@ class LogzWriter(DataSourceWriter):
         self.at, self.raw = columns.index("line_no"), columns.index("raw")
 
     def write(self, rows: Iterator) -> Part:
-        return Part([(r[self.at], (r[self.raw] or "").encode()) for r in rows])
+        lines = sorted((r[self.at], (r[self.raw] or "").encode()) for r in rows)
+        os.makedirs(f"{self.path}.parts", exist_ok=True)
+        part = Part(f"{self.path}.parts/{uuid.uuid4().hex}")
+        with open(part.path, "wb") as f:
+            for at, raw in lines:
+                f.write(LINE.pack(at, len(raw)) + raw)
+        return part
 
     def commit(self, messages: list[Part]) -> None:
-        lines = sorted(x for m in messages if m is not None for x in m.rows)
-        write_file(self.path, b"".join(raw + b"\n" for _, raw in lines), self.format, self.year)
+        parts = [_lines_in(m.path) for m in messages if m is not None]
+        write_file(self.path, _slices(raw + b"\n" for _, raw in heapq.merge(*parts)), self.format, self.year)
+        shutil.rmtree(f"{self.path}.parts", ignore_errors=True)
 
     def abort(self, messages: list[Part]) -> None:
-        return None
+        shutil.rmtree(f"{self.path}.parts", ignore_errors=True)
+
+
+LINE = struct.Struct("<qI")
+
+
+def _lines_in(path: str) -> Iterator[tuple[int, bytes]]:
+    with open(path, "rb") as f:
+        while head := f.read(LINE.size):
+            at, size = LINE.unpack(head)
+            yield at, f.read(size)
+
+
+def _slices(pieces: Iterable[bytes], size: int = 1 << 16) -> Iterator[bytes]:
+    """Bytes in slices of one size, the last one shorter."""
+    held = bytearray()
+    for piece in pieces:
+        held += piece
+        while len(held) >= size:
+            yield bytes(held[:size])
+            del held[:size]
+    if held:
+        yield bytes(held)
 
 
-def write_file(path: str, data: bytes, fmt: str, year: int = 2024) -> None:
-    """Bytes as a logz file."""
+def write_file(path: str, data: bytes | Iterator[bytes], fmt: str, year: int = 2024) -> None:
+    """Bytes, or slices of ``CHUNK`` bytes, as a logz file."""
     import zstandard
 
-    samples = [data[i : i + CHUNK] for i in range(0, min(len(data), TRAIN_BYTES), CHUNK)]
+    slices = _slices([data], CHUNK) if isinstance(data, bytes) else data
+    samples = list(islice(slices, TRAIN_BYTES // CHUNK))
     dictionary = b""
     if len(samples) >= 2:
         try:
@@ -213,10 +248,10 @@ def write_file(path: str, data: bytes, fmt: str, year: int = 2024) -> None:
             dictionary = b""
     coder = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
     link, entries = b"", []
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     with open(f"{path}.part", "wb") as f:
         f.write(HEADER.pack(MAGIC, VERSION, FORMATS.index(fmt), len(dictionary)) + dictionary)
-        for i in range(0, len(data), CHUNK):
-            raw = data[i : i + CHUNK]
+        for raw in chain(samples, slices):
             link = hashlib.sha256(link + raw).digest()
             seen = _times(raw, fmt, year)
             values = [str(v).encode() for row in _objects(raw) for v in (row.get(k) for k in t.FIELD_KEYS) if v is not None] if fmt == "json" else []

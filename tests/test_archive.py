@@ -222,3 +222,106 @@ def test_hashes_of_any_bytes(spark):
 def test_byte_chunks(spark):
     files = spark.createDataFrame([("p", bytearray(b"abcdefg")), ("empty", bytearray(b""))], "path string, content binary")
     assert [(r["chunk_id"], bytes(r["raw"])) for r in byte_chunks(files, 3).collect()] == [(0, b"abc"), (1, b"def"), (2, b"g")]
+
+
+def test_an_archive_is_never_replaced(spark, tmp_path):
+    path = str(tmp_path / "store")
+    archive.create(frame(spark, timed_lines()), path, "a")
+    with pytest.raises(FileExistsError):
+        archive.create(frame(spark, ["x"]), path, "a")
+    assert archive.archives(spark, path).count() == 1 and archive.verify(spark, path).first()["status"] == "VERIFIED"
+    assert archive.index(spark, path, "a").agg(F.sum("n_lines")).first()[0] == 450
+    # a store that cannot be read is no empty store
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "archives").mkdir()
+    (tmp_path / "broken" / "archives" / "part-0.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception, match="(?i)parquet|footer|read"):
+        archive.create(frame(spark, ["x"]), str(tmp_path / "broken"), "a", "json")
+
+
+def test_bytes_come_back_as_they_were(spark, tmp_path):
+    from arclog import cli
+
+    for i, data in enumerate([b'{"a":"z"}', b'{"a": 1}\n\n{"a\xff": "b\xfe"}\r\n\xc3\x28 caf\xc3\xa9', b"\n", b"a\n\n\n", b"x" * 70_000 + b"\ny", b""]):
+        file, path = tmp_path / f"{i}.log", str(tmp_path / f"store{i}")
+        file.write_bytes(data)
+        archive.create(cli.lines_of(spark, str(file)), path, "a", "json")
+        archive.append(cli.lines_of(spark, str(file)), path, "a") if data else None
+        if data:
+            archive.restore(archive.chunks(spark, path, "a"), str(tmp_path / "back"))
+            assert (tmp_path / "back").read_bytes() == data * 2, data
+            assert archive.index(spark, path, "a").agg(F.sum("orig_size")).first()[0] == 2 * len(data)
+            assert archive.verify(spark, path).first()["status"] == "VERIFIED" == archive.verify_index(spark, path).first()["index_status"]
+    path = str(tmp_path / "store1")
+    assert found(archive.search(spark, path, "a", Search("caf\u00e9"))) == ["\ufffd( caf\u00e9"] * 2
+    assert found(archive.search(spark, path, "a", Search("\ufffd( c"))) == ["\ufffd( caf\u00e9"] * 2
+    assert {r["raw"] for r in export.export_records(archive.chunks(spark, path, "a")).collect()} == {'{"a": 1}', '{"a\ufffd": "b\ufffd"}', "\ufffd( caf\u00e9"}
+
+
+def test_a_missing_filter_may_hold_anything(spark):
+    chunks = index.build_chunks(frame(spark, ['{"x": "tok" y}', "other"]), "json", filters=False)
+    for mode in ("exact", "reference"):
+        assert found(search(chunks, '"tok" y', mode=mode)) == ['{"x": "tok" y}']
+
+
+def test_stored_search_opens_only_what_the_index_leaves(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(archive, "PART_CHUNKS", 2)
+    path = str(tmp_path / "store")
+    archive.create(frame(spark, timed_lines()), path, "7", "json")
+    parts = archive.index(spark, path, "7").select("part").distinct().count()
+    assert parts > 2 and (tmp_path / "store/bodies/archive_id=7/version=1/part=0").exists()
+    find = Search("DAY1MARKER", "2025-01-16", "2025-01-16")
+    assert "raw" not in find.prunes(archive.index(spark, path, "7")).columns
+    opened = archive.candidates(spark, path, "7", find).inputFiles()
+    assert 0 < len({f.split("/part=")[1].split("/")[0] for f in opened}) <= parts
+    plan = archive.candidates(spark, path, "7", find)._jdf.queryExecution().toString()
+    assert "part#" in plan and "PartitionFilters: [" in plan and "IN (" in plan.split("PartitionFilters: [")[-1][:200]
+    for named in (2000, 0):
+        monkeypatch.setattr(archive, "NAMED_PARTS", named)
+        for options in ({"query": "DAY1MARKER"}, {"query": "AY2"}, {"frm": "2025-01-16", "to": "2025-01-16"}, {"query": "NOT_THERE"}, {"user": "x"}):
+            find = Search(**options)
+            assert found(archive.search(spark, path, "7", find)) == found(find.run(archive.chunks(spark, path, "7")))
+            reference = Search(mode="reference", **options)
+            assert archive.search_stats(spark, path, "7", reference).first() == reference.stats(archive.chunks(spark, path, "7")).first()
+    with pytest.raises(ValueError):
+        archive.index(spark, path, "8")
+
+
+def test_index_tampering_is_found(spark, tmp_path):
+    path = str(tmp_path / "store")
+    archive.create(frame(spark, timed_lines()[:300]), path, "a", "json")
+    archive.append(frame(spark, timed_lines()[300:]), path, "a")
+    archive.create(frame(spark, field_lines()[:100]), path, "b", "json")
+    assert {r["index_status"] for r in archive.verify_index(spark, path).collect()} == {"VERIFIED"}
+    entries, known = archive.index(spark, path), archive.archives(spark, path)
+    here = F.col("archive_id") == "a"
+    changes = {
+        "max_ts": F.when(here & (F.col("seq") == 2), F.lit(5).cast("long")).otherwise(F.col("max_ts")),
+        "bloom": F.when(here & (F.col("seq") == 2), F.lit(bytearray(1024))).otherwise(F.col("bloom")),
+        "field_bloom": F.when(here & (F.col("seq") == 2), F.lit(bytearray(512))).otherwise(F.col("field_bloom")),
+    }
+    for name, value in changes.items():
+        rows = {r["archive_id"]: (r["index_status"], r["bad_entry"]) for r in archive.checked_index(entries.withColumn(name, value), known).collect()}
+        assert rows == {"a": ("TAMPERED", 2), "b": ("VERIFIED", None)}, name
+        # with the entry's hash made anew the root still differs
+        again = entries.withColumn(name, value).withColumn("index_hash", archive.entry_hash())
+        rows = {r["archive_id"]: r["index_status"] for r in archive.checked_index(again, known).collect()}
+        assert rows == {"a": "TAMPERED", "b": "VERIFIED"}
+    last = entries.where(~(here & (F.col("seq") == 5)))
+    assert {r["archive_id"]: r["index_status"] for r in archive.checked_index(last, known).collect()} == {"a": "TAMPERED", "b": "VERIFIED"}
+
+
+def test_stored_sizes(spark, tmp_path):
+    path = str(tmp_path / "store")
+    archive.create(frame(spark, timed_lines()), path, "a", "json")
+    row = archive.stored_sizes(spark, path).first()
+    size = sum(f.stat().st_size for t in ("bodies", "index") for f in (tmp_path / "store" / t).rglob("*.parquet"))
+    assert row["stored_bytes"] == size and row["bytes"] == sum(len(x) + 1 for x in timed_lines()) and row["ratio"] == round(row["bytes"] / size, 3) > 1
+
+
+def test_json_lines_are_ascii(spark, tmp_path):
+    texts = ["plain", "caf\u00e9 \u4e2d \U0001f600", 'quote " back \\ tab\t', ""]
+    df = spark.createDataFrame([(x,) for x in texts], "raw string")
+    export.write_jsonl(df.coalesce(1), str(tmp_path / "out"))
+    lines = next((tmp_path / "out").glob("part-*")).read_text("ascii").splitlines()
+    assert lines == [json.dumps({"raw": x}, separators=(",", ":")) for x in texts]

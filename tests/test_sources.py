@@ -165,3 +165,60 @@ def test_commands_print_every_object(spark, tmp_path, capsys):
         assert cli.run(spark, cli.parser().parse_args([*args, "--now", "1735689600"])) == 0
         printed = capsys.readouterr().out
         assert len(printed.splitlines()) == 1201 and all(k in printed for k in keys)
+
+
+def test_files_without_a_last_line_end_and_batches_run_again(spark, tmp_path):
+    source, store, state = tmp_path / "in", str(tmp_path / "store"), str(tmp_path / "state")
+    source.mkdir()
+    data = [b"one\n\ntwo \xff\nlast", b"\xc3\xa9\n"]
+    for i, x in enumerate(data):
+        (source / f"{i}.log").write_bytes(x)
+        ingest.follow(spark, str(source), store, "s", state, "plaintext").awaitTermination()
+        os.utime(source / f"{i}.log", (1_700_000_000 + i, 1_700_000_000 + i))
+    # a crash after an archive was published and before the stream noted its batch
+    for name in os.listdir(f"{state}/commits"):
+        if name.strip(".").startswith("1"):
+            os.remove(f"{state}/commits/{name}")
+    ingest.follow(spark, str(source), store, "s", state).awaitTermination()
+    archive.restore(archive.chunks(spark, store, "s"), str(tmp_path / "back"))
+    assert (tmp_path / "back").read_bytes() == b"".join(data)
+    assert archive.verify(spark, store).first()["status"] == "VERIFIED"
+
+
+def test_file_store(spark, tmp_path):
+    store = objects.FileStore(str(tmp_path / "s"), "2025-01-01T00:00:00Z")
+    store.put("logs", "a/b c*.logz", b"1", "COMPLIANCE", "2030-01-01T00:00:00Z")
+    store.put("logs", "free.logz", b"2")
+    store.put("logs", "past.logz", b"3", "GOVERNANCE", "2020-01-01T00:00:00Z")
+    assert store.check_lock("logs", "a/b c*.logz") == ("COMPLIANCE", "2030-01-01T00:00:00Z") and store.check_lock("logs", "free.logz") == ("", "")
+    for refused in (lambda: store.delete("logs", "a/b c*.logz"), lambda: store.put("logs", "a/b c*.logz", b"x"), lambda: store.set_retention("logs", "a/b c*.logz", "2026-01-01T00:00:00Z")):
+        with pytest.raises(PermissionError):
+            refused()
+    with pytest.raises(FileNotFoundError):
+        store.check_lock("logs", "nothing")
+    rows = {r["key"]: r["status"] for r in retention.lock_status(store.table(spark), 1_735_689_600).collect()}
+    assert rows == {"a/b c*.logz": "LOCKED — COMPLIANCE mode, retain until 2030-01-01", "free.logz": "NOT LOCKED", "past.logz": "NOT LOCKED"}
+    text = "streams:\n  - name: x\n    pattern: s3://logs/*.logz\n    retention_days: 1\n    lock: true\n"
+    plan = retention.plan(store.table(spark), policy.as_table(spark, policy.parse(text)), 1_735_689_600)
+    done = objects.apply(plan, store, "2031-01-01T00:00:00Z", dry_run=False)
+    assert done == {"LOCK": 2} and store.check_lock("logs", "free.logz")[1] == store.check_lock("logs", "past.logz")[1] == "2031-01-01T00:00:00Z"
+
+
+def test_written_line_by_line(tmp_path):
+    whole, parts = tmp_path / "whole.logz", tmp_path / "parts.logz"
+    data = "\n".join(LINES).encode()
+    logz.write_file(str(whole), data, "json")
+    logz.write_file(str(parts), logz._slices(data[i : i + 777] for i in range(0, len(data), 777)), "json")
+    assert whole.read_bytes() == parts.read_bytes()
+
+
+def test_stored_archives_follow_their_table(spark, tmp_path):
+    from arclog.plans import queries
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.limit(50).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    one = queries.stored(spark, str(tmp_path))
+    assert queries.stored(spark, str(tmp_path)) == one
+    events.limit(60).coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "events.parquet"))
+    two = queries.stored(spark, str(tmp_path))
+    assert two != one and archive.index(spark, two, "json_log").agg(F.sum("n_lines")).first()[0] == 60
