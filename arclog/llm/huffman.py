@@ -216,7 +216,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc
     spark = docs.sparkSession
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     scratch = f"{path}/scratch"
-    _tokenized(slim, vocabulary, end_id).withColumn("row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(scratch)
+    _tokenized(slim, vocabulary, end_id).withColumn("row", F.monotonically_increasing_id()).write.option("compression", "snappy").parquet(scratch)
     rows = spark.read.parquet(scratch)
     lengths = code_lengths(_counted(rows, ids))
     write_file(f"{path}/codebook.huf", b"HUFC" + struct.pack("<I", len(lengths)) + lengths.tobytes())
