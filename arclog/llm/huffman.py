@@ -152,17 +152,23 @@ def _frame(docs: np.ndarray, nulls: np.ndarray, tokens: np.ndarray, before: int,
     return b"".join([head, docs.astype("<i8").tobytes(), nulls.astype("u1").tobytes(), tokens.astype("<u4").tobytes(), offsets.astype("<u4").tobytes(), payload])
 
 
-def _tokenized(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """(doc_id, n, ids): the ids of each text and the end id, two bytes each."""
+def _tokenized(docs: DataFrame, vocabulary: str, end_id: int, n_ids: int) -> DataFrame:
+    """(doc_id, n, ids): the ids of each text and the end id, two bytes each. The last row of a
+    partition has n = -1 and the numbers of its ids, so they need no pass of their own."""
     end = end_id.to_bytes(2, "little")
 
+    def rows(names: pa.Array, n: list[int], ids: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([names, pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n", "ids"])
+
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            first, held, size = 0, [], 0
+        total = np.zeros(n_ids, np.int64)
 
-            def some(names: pa.Array, held: list[bytes]) -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([names, pa.array([len(x) // 2 for x in held], pa.int64()), pa.array(held, pa.binary())], names=["doc_id", "n", "ids"])
+        def some(names: pa.Array, held: list[bytes]) -> pa.RecordBatch:
+            total[:] += np.bincount(np.frombuffer(b"".join(held), "<u2"), minlength=n_ids)
+            return rows(names, [len(x) // 2 for x in held], held)
 
+        for batch in batches:
+            first, held, size = 0, [], 0
             for ids in encoded(chain.from_iterable(parts_of(batch.column(1))), vocabulary, "H"):
                 held.append(ids + end)
                 size += len(ids)
@@ -171,6 +177,8 @@ def _tokenized(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
                     first, held, size = first + len(held), [], 0
             if held:
                 yield some(batch.column(0).slice(first), held)
+        seen = np.flatnonzero(total)
+        yield rows(pa.nulls(1, pa.int64()), [-1], [seen.astype("<u2").tobytes() + total[seen].astype("<i8").tobytes()])
 
     return docs.mapInArrow(tokenize, "doc_id long, n long, ids binary")
 
@@ -192,20 +200,23 @@ def _whole(column: pa.BinaryArray) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], "<u2", (cuts[-1] - cuts[0]) // 2, cuts[0]) if len(column) and cuts[-1] > cuts[0] else np.zeros(0, "<u2")
 
 
-def _counted(rows: DataFrame, ids: int) -> np.ndarray:
+def _counted(counts: DataFrame, n_ids: int) -> np.ndarray:
     """How often each id occurs; as many rows as the vocabulary has come back."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(ids, np.int64)
+        total = np.zeros(n_ids, np.int64)
         for batch in batches:
-            total += np.bincount(_whole(batch.column(0)), minlength=ids)
+            for x in batch.column(0):
+                data = x.as_py()
+                seen = len(data) // 10
+                total[np.frombuffer(data, "<u2", seen)] += np.frombuffer(data, "<i8", seen, 2 * seen)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
 
-    counts = np.zeros(ids, np.int64)
-    for row in rows.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        counts[row["id"]] = row["n"]
-    return counts
+    out = np.zeros(n_ids, np.int64)
+    for row in counts.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+        out[row["id"]] = row["n"]
+    return out
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, ids: int = 1 << 16) -> None:
@@ -216,9 +227,10 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc
     spark = docs.sparkSession
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     scratch = f"{path}/scratch"
-    _tokenized(slim, vocabulary, end_id).withColumn("row", F.monotonically_increasing_id()).write.option("compression", "snappy").parquet(scratch)
-    rows = spark.read.parquet(scratch)
-    lengths = code_lengths(_counted(rows, ids))
+    _tokenized(slim, vocabulary, end_id, ids).withColumn("row", F.monotonically_increasing_id()).write.option("compression", "snappy").parquet(scratch)
+    found = spark.read.parquet(scratch)
+    lengths = code_lengths(_counted(found.where("n < 0"), ids))
+    rows = found.where("n >= 0")
     write_file(f"{path}/codebook.huf", b"HUFC" + struct.pack("<I", len(lengths)) + lengths.tobytes())
     lows, starts = _ranges(rows.select("doc_id", "row", "n"))
 
