@@ -46,9 +46,9 @@ MAX_BITS = 20
 EVERY = 256
 END_ID = 2
 #: Ids of a block, but for one longer document.
-BLOCK_IDS = 1 << 18
+BLOCK_IDS = 1 << 19
 #: Blocks of a file; a reader holds one file at a time.
-FILE_BLOCKS = 32
+FILE_BLOCKS = 16
 #: Bytes of ids that a batch on its way to Spark holds at most, but for one long document.
 BATCH_BYTES = 1 << 22
 

@@ -26,7 +26,7 @@ from collections.abc import Iterable
 from arclog.llm.common import Kept, of_worker
 
 #: Bytes of pieces that a worker keeps.
-KEPT_PIECES = 288 << 20
+KEPT_PIECES = 320 << 20
 
 #: Letters of every Unicode version: those of ASCII, Latin-1 and Latin Extended-A and -B.
 LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
@@ -82,9 +82,12 @@ class Encoder:
     def _cut(self, text: str) -> list[str]:
         """The pieces of a text; see the module's text."""
         if not OTHER_SPACE.search(text):
-            wide = "  " in text or "\n\n" in text or " \n" in text or "\n " in text
+            lines = "\n" in text
+            wide = "  " in text or lines and ("\n\n" in text or " \n" in text or "\n " in text)
             if not (wide and LONG_SPACE.search(text)):
-                marked = text.replace(" ", "\0 ").replace("\n", "\0\n\0")
+                marked = text.replace(" ", "\0 ")
+                if lines:
+                    marked = marked.replace("\n", "\0\n\0")
                 if not JOINED.search(text):
                     marked = marked.replace(",", "\0,").replace(".", "\0.")
                 return marked.split("\0")
