@@ -7,6 +7,7 @@ import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Hashable, Iterator
+from itertools import islice
 from typing import Any
 
 import pyarrow as pa
@@ -28,23 +29,23 @@ ENTRY_BYTES = 200
 
 
 class Kept(dict):
-    """Values by word; what is not there is made by ``make``. At most ``most`` bytes are held:
-    entries go to a young half, and when that is full it becomes the old half, whose entries
-    come back when asked for. Longer words than KEPT_KEY are never kept."""
+    """Values by word; what is not there is made by ``make``. At most ``most`` bytes are held: when
+    they are full the first quarter stays, as the words that come first are the common ones.
+    Longer words than KEPT_KEY are never kept."""
 
     def __init__(self, make: Callable[[str], Any], most: int = KEPT_BYTES):
         super().__init__()
-        self.make, self.half = make, most // 2
-        self.old: dict[str, Any] = {}
-        self.held = 0
+        self.make, self.most, self.held = make, most, 0
 
     def __missing__(self, key: str) -> Any:
-        value = self.old[key] if key in self.old else self.make(key)
+        value = self.make(key)
         if len(key) <= KEPT_KEY:
             self.held += len(key) + ENTRY_BYTES
-            if self.held > self.half:
-                self.old, self.held = dict(self), 0
+            if self.held > self.most:
+                first = dict(islice(self.items(), len(self) // 4))
                 self.clear()
+                self.update(first)
+                self.held = sum(map(len, first)) + (len(first) + 1) * ENTRY_BYTES + len(key)
             self[key] = value
         return value
 

@@ -26,7 +26,7 @@ from collections.abc import Iterable
 from arclog.llm.common import Kept, of_worker
 
 #: Bytes of pieces that a worker keeps.
-KEPT_PIECES = 320 << 20
+KEPT_PIECES = 176 << 20
 
 #: Letters of every Unicode version: those of ASCII, Latin-1 and Latin Extended-A and -B.
 LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
