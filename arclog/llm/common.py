@@ -42,13 +42,17 @@ class Kept(dict):
         if len(key) <= KEPT_KEY:
             self.held += len(key) + ENTRY_BYTES
             if self.held > self.most:
-                first = dict(islice(self.items(), len(self) // 4))
-                self.clear()
-                self.update(first)
-                self.held = sum(map(len, first)) + (len(first) + 1) * ENTRY_BYTES + len(key)
+                self._shrink()
+                self.held += len(key) + ENTRY_BYTES
             self[key] = value
         return value
 
+    def _shrink(self) -> None:
+        first = dict(islice(self.items(), len(self) // 4))
+        self.clear()
+        self.update(first)
+        self.held = sum(map(len, first)) + len(first) * ENTRY_BYTES
+
 
 _WORKER: dict[Hashable, Any] = {}
 

@@ -42,7 +42,8 @@ from arclog.llm.common import parts_of, shared_folder
 from arclog.llm.files import opened, write_file, write_files
 from arclog.llm.tokens import encoded
 
-MAX_BITS = 20
+#: Longest code; the decoding table has two to this power entries and stays in the cache.
+MAX_BITS = 16
 EVERY = 256
 END_ID = 2
 #: Ids of a block, but for one longer document.

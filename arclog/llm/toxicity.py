@@ -449,9 +449,9 @@ class Margins:
 
     def of(self, words: set[str]) -> dict[str, float]:
         """The margins of those words that have one above 0."""
-        new = words - self.young.keys()
-        found = {w: self.old[w] for w in new & self.old.keys()}
-        every = list(new - found.keys())
+        new = [w for w in words if w not in self.young]
+        found = {w: self.old[w] for w in new if w in self.old}
+        every = [w for w in new if w not in found]
         for at in range(0, len(every), BLOCK):
             some = every[at : at + BLOCK]
             plain = [w if w.isalnum() else w.translate(PUNCTUATION) for w in some]
@@ -459,7 +459,7 @@ class Margins:
             told = {w: m for w, v in zip(each, self.kernels.of(each), strict=True) if v is not None and (m := float(v @ self.weights)) > 0}
             found.update((w, told.get(p, 0.0)) for w, p in zip(some, plain, strict=True))
         out = {w: m for w, m in found.items() if m}
-        out.update((w, self.told[w]) for w in words & self.told.keys())
+        out.update((w, m) for w, m in self.told.items() if w in words)
         for w in [w for w in found if len(w) > KEPT_KEY]:
             del found[w]
         self.held += sum(map(len, found)) + ENTRY_BYTES * len(found)
