@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arclog.llm.common import parts_of
-from arclog.llm.tokens import encoded
+from arclog.llm.tokens import KEPT_PIECES, encoded
 
 LONGEST = 2048
 END_ID = 1
@@ -35,9 +35,10 @@ def piece_lengths(n: int, longest: int = LONGEST) -> list[int]:
     return [longest] * (n // longest) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", longest: int = LONGEST, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", longest: int = LONGEST, end_id: int = END_ID, kept: int = KEPT_PIECES) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens,
-    bucket, sequence_id and offset."""
+    bucket, sequence_id and offset. ``kept``: bytes of pieces that a worker keeps, a matter of
+    speed alone."""
     if longest & (longest - 1):
         raise ValueError("longest must be a power of two")
     end = end_id.to_bytes(4, "little")
@@ -48,7 +49,7 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
         held = 0
         for batch in batches:
             texts = chain.from_iterable(parts_of(batch.column(1)))
-            for doc, ids in zip(batch.column(0).to_pylist(), encoded(texts, vocabulary), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), encoded(texts, vocabulary, kept=kept), strict=True):
                 ids += end
                 n, start = len(ids) // 4, 0
                 for length in piece_lengths(n, longest):

@@ -106,12 +106,12 @@ class Encoder:
         return [b"".join(map(ids, self._cut(text))) for text in texts]
 
 
-def encoder(path: str, code: str = "I") -> Encoder:
+def encoder(path: str, code: str = "I", kept: int = KEPT_PIECES) -> Encoder:
     """One encoder for each worker, kept from task to task while no other is asked for."""
-    return of_worker(("encoder", path, code), lambda: Encoder(path, code))
+    return of_worker(("encoder", path, code, kept), lambda: Encoder(path, code, kept))
 
 
-def encoded(texts: list[str | None], path: str, code: str = "I", group: int = 64, most: int = 1 << 22) -> Iterable[bytes]:
+def encoded(texts: Iterable[str | None], path: str, code: str = "I", group: int = 64, most: int = 1 << 22, kept: int = KEPT_PIECES) -> Iterable[bytes]:
     """Ids text by text, a null text as an empty one, in groups of bounded length."""
     held: list[str] = []
     chars = 0
@@ -119,7 +119,7 @@ def encoded(texts: list[str | None], path: str, code: str = "I", group: int = 64
         held.append(text or "")
         chars += len(held[-1])
         if len(held) == group or chars >= most:
-            yield from encoder(path, code).encode(held)
+            yield from encoder(path, code, kept).encode(held)
             held, chars = [], 0
     if held:
-        yield from encoder(path, code).encode(held)
+        yield from encoder(path, code, kept).encode(held)
