@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
 read again as the next stage's documents. All but the last return the columns of documents.
+
+Defined cases: null and empty texts go in the quality stage, since they have fewer than 50 words.
+Rows that repeat an id are scored and judged alike; of them and of all near copies the
+deduplication keeps one row; rows without id all pass it. Columns beyond those of documents are
+left out in the first stage, whatever their names. Empty tables pass through every stage.
 """
 
 from __future__ import annotations
@@ -15,6 +20,9 @@ from arclog.llm import mixing, packing, quality_rules, simhash, toxicity
 from arclog.llm.common import DOCUMENT_COLUMNS, shared_folder, table
 from arclog.llm.queries import VOCABULARY, WEIGHTS
 
+#: Bytes of pieces that a worker of the packing stage keeps.
+PIECES = 48 << 20
+
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not reject."""
@@ -42,8 +50,9 @@ def mixed_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of power-of-two length with their ids."""
-    return packing.pieces(docs, VOCABULARY).select("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
+    """Sequences of power-of-two length with their ids. Workers that have run the stages before
+    keep few pieces."""
+    return packing.pieces(docs, VOCABULARY, kept=PIECES).select("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
