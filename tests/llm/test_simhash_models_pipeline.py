@@ -364,3 +364,19 @@ def test_pipeline(spark, tables):
     packed = corpus_pipeline.STAGES[-1][1](spark, left, SF)
     whole = packed.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("d")).collect()
     assert {r["doc_id"] for r in whole} == ids and all(r["n"] == r["d"] for r in whole)
+
+
+def test_pipeline_odd_tables(spark, tables):
+    docs, labels = tables
+    good = docs.where("n_chars > 600 AND lang = 'en'").orderBy("doc_id").limit(40)
+    odd = spark.createDataFrame([(900_001, None, "en", "web", 0), (900_002, "", None, None, 0), (900_003, "x" * 300_000, "en", "web", 0)], docs.schema)
+    own = good.where("doc_id IS NOT NULL").limit(1)
+    frame = good.union(good).union(odd).union(own.withColumn("doc_id", F.lit(None).cast("long"))).withColumns({"_score": F.lit("a"), "_fp": F.lit(1), "_doc": F.lit(2), "_ledger": F.lit(3)})
+    for left in (frame, frame.limit(0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            left = stage(spark, left, SF).cache()
+            assert left.columns == list(corpus_pipeline.DOCUMENT_COLUMNS)
+        ids = [r["doc_id"] for r in left.select("doc_id").collect()]
+        assert len(set(ids)) == len(ids) and not {900_001, 900_002, 900_003} & set(ids)
+        packed = corpus_pipeline.STAGES[-1][1](spark, left, SF)
+        assert {r["doc_id"] for r in packed.select("doc_id").collect()} == set(ids)
